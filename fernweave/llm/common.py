@@ -17,6 +17,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """Place of a vocabulary file: in ``folder``, or where the installed package of public tokenizers has it."""
+    if folder is not None:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -70,3 +79,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_groups: i
     right = inner.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     same = [left[k].eqNullSafe(right[f"__{k}"]) for k in keys] + [left["__salt"] == right["__other"]]
     return left.join(right, same, how).drop("__salt", "__other", *(f"__{k}" for k in keys))
+
+
+def join_skewed(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, size: str | None = None, share: int = 1000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Inner join of ``rows`` to a table with one row for each key; ``count`` there is how many rows the key has.
+
+    Keys with over 1/``share`` of all counted rows are at most ``share`` in number: these are broadcast, if their bytes
+    (column ``size``, dropped; 64 a row without it) add up to at most ``most_bytes``, and joined on a salt otherwise.  No
+    other key weighs more than 1/``share`` of the rows in the task that it falls to.  Both tables should be checkpointed.
+    """
+    total, kept = groups.agg(F.sum(count)).first()[0] or 0, [c for c in groups.columns if c not in (count, size)]
+    hot = groups.where(F.col(count) > max(1000, total // share))
+    n_hot, n_bytes = hot.agg(F.count("*"), F.sum(size) if size else F.count("*") * 64).first()
+    if not n_hot:
+        return rows.join(groups.select(*kept), keys)
+    cold = groups.where(F.col(count) <= max(1000, total // share)).select(*kept)
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
+    some, rest = marked.where("__hot").drop("__hot"), marked.where("__hot is null").drop("__hot")
+    if n_bytes <= most_bytes:
+        return some.join(F.broadcast(hot.select(*kept)), keys).unionByName(rest.join(cold, keys))
+    salts = 64
+    some = some.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    spread = hot.select(*kept).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return some.join(spread, [*keys, "__salt"]).drop("__salt").unionByName(rest.join(cold, keys))

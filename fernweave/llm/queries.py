@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, tokenizer_path
 from .licenses import scan_licenses
+from .line_dedup import dedup_lines
 from .mixing import mix_documents
+from .outliers import reject_outliers
+from .pfor import token_ids
 from .sharding import shard_documents
+from .toxicity import held_out, score_documents, train
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,24 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reject_outliers(documents(spark, sf_dir))
+
+
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -24,7 +46,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op7_source_mix, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_line_chunks, op4_toxicity, op5_robust_outliers, op6_token_blocks, op7_source_mix, op10_license_scan)}
 
 #: DuckDB SQL by query, for those that SQL can express.
 ORACLES: dict[str, str] = {}

@@ -8,6 +8,8 @@ shared folder, so that Spark writes, commits and reads them in whatever store th
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,9 +23,13 @@ from .common import shared_dir
 
 BLOCK = 256
 #: A file is closed when it has so many ids or documents.
-FILE_IDS, FILE_DOCS = 1 << 20, 1 << 16
-#: Bytes of text that are tokenized at once.
-BATCH_BYTES = 1 << 20
+FILE_IDS, FILE_DOCS = 1 << 18, 1 << 14
+#: Characters of texts and of joined new units that are tokenized at once, and the units whose ids a worker remembers.
+BATCH_CHARS, JOINED_CHARS, KEPT_UNITS = 1 << 20, 1 << 14, 800_000
+#: A single blank between two characters that aren't white space always begins a pre-token, so texts may be cut there.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Where none of this is found, all blanks are such places.
+_ODD = re.compile(r"^ | \s|\s | $")
 _HEAD = "<4sHHIQI"
 _MAGIC = b"FWPF"
 _POWERS = 1 << np.arange(32, dtype=np.uint64)
@@ -112,6 +118,60 @@ class File:
         return unpack(self._starts, self._blocks, first, -(-stop // BLOCK))[start - first * BLOCK : stop - first * BLOCK]
 
 
+class UnitEncoder:
+    """Encodes texts cut at blanks; the tokenizers library sees each distinct unit once, until too many are remembered.
+
+    New units are joined again for the library, so that it makes few results, and are told apart by the bytes of each id.
+    """
+
+    def __init__(self, path: str) -> None:
+        import tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks use the cores
+        kept = vars(tokenizers).setdefault("_fernweave_units", {})  # outlives a task, as the worker does
+        if path not in kept:
+            tokenizer = tokenizers.Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            size = np.zeros(tokenizer.get_vocab_size(), np.int64)
+            for token, i in tokenizer.get_vocab().items():
+                size[i] = len(token)  # byte-level: a character for each byte
+            kept.clear()
+            kept[path] = tokenizer, size, {}
+        self.tokenizer, self.size, self.known = kept[path]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        """Remember the ids of units, here without the blank before each."""
+        ids = self._ids(["".join([" " + u for u in units])])[0]
+        ends = np.cumsum(self.size[ids])
+        want = np.cumsum([1 + len(u.encode("utf-8", "surrogatepass")) for u in units])
+        at = np.searchsorted(ends, want)
+        if len(ends) and (at < len(ends)).all() and (ends[at] == want).all():
+            data, bounds = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+            self.known.update(zip(units, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+        else:
+            self.known.update(zip(units, (x.tobytes() for x in self._ids([" " + u for u in units])), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        split = [t.split(" ") if not _ODD.search(t) else [u[i > 0 :] for i, u in enumerate(_CUT.split(t))] for t in texts]
+        firsts = [s.pop(0) for s in split]
+        if len(self.known) > KEPT_UNITS:
+            self.known.clear()
+        new = list(set().union(*split).difference(self.known))
+        low = 0
+        while low < len(new):
+            high, size = low, 0
+            while high < len(new) and (size == 0 or size + len(new[high]) <= JOINED_CHARS):
+                size += len(new[high])
+                high += 1
+            self._learn(new[low:high])
+            low = high
+        return [f.tobytes() + b"".join(map(self.known.__getitem__, s)) for f, s in zip(self._ids(firsts), split, strict=True)]
+
+
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     """Encode the whole texts of ``docs`` and write the files to ``path``, in ascending doc_id order.
 
@@ -122,18 +182,16 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> No
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(tokenizer)
-        encoder.encode_special_tokens = True  # their strings in a text are ordinary text
+        encoder, end = UnitEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
         n_ids = 0
 
         def closed():
             nonlocal doc_ids, parts, n_ids, seq, before
-            data = write_file(doc_ids, [len(p) for p in parts], np.concatenate(parts))
+            data = write_file(doc_ids, [len(p) // 4 for p in parts], np.frombuffer(b"".join(parts), "<u4"))
             out = pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (before, pa.int64()), (n_ids, pa.int64()), (data, pa.binary()))], names=["part", "seq", "before", "n_ids", "data"])
             doc_ids, parts, seq, before, n_ids = [], [], seq + 1, before + n_ids, 0
             return out
@@ -143,14 +201,14 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> No
             low = 0
             while low < len(keys):
                 high, size, some = low, 0, []
-                while high < len(keys) and size < BATCH_BYTES:
+                while high < len(keys) and size < BATCH_CHARS:
                     some.append(texts[high].as_py())
                     size += len(some[-1]) + 64
                     high += 1
-                for key, got in zip(keys[low:high], encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                for key, got in zip(keys[low:high], encoder.encode(some), strict=True):
                     doc_ids.append(key)
-                    parts.append(np.array([*got.ids, end_id], np.uint32))
-                    n_ids += len(parts[-1])
+                    parts.append(got + end)
+                    n_ids += len(parts[-1]) // 4
                     if n_ids >= FILE_IDS or len(doc_ids) >= FILE_DOCS:
                         yield closed()
                 low = high

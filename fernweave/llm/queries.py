@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import documents, tokenizer_path
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
+from .media import media_features
 from .mixing import mix_documents
 from .outliers import reject_outliers
 from .pfor import token_ids
+from .pieces import encode_documents
 from .sharding import shard_documents
 from .toxicity import held_out, score_documents, train
 
@@ -42,11 +44,22 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(documents(spark, sf_dir))
+
+
+def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_line_chunks, op4_toxicity, op5_robust_outliers, op6_token_blocks, op7_source_mix, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_histogram_shards, op2_line_chunks, op4_toxicity, op5_robust_outliers, op6_token_blocks, op7_source_mix, op8_jpeg_media, op9_piece_encoding, op10_license_scan)
+}
 
 #: DuckDB SQL by query, for those that SQL can express.
 ORACLES: dict[str, str] = {}

@@ -81,7 +81,7 @@ def dart_signatures(row: np.ndarray, cells: np.ndarray, n_rows: int, k: int) ->
         number = 0
         while len(at):
             number += 1
-            h = _mix(key + _U(number) * _MULTIPLIERS[0])
+            h = _mix(key + _U(number * int(_MULTIPLIERS[0]) % 2**64))
             rank = rank - np.log1p(-((h >> _U(24)).astype(np.float64) * 2.0**-40))
             near = rank <= limit
             if not near.all():
@@ -194,7 +194,95 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _band_members(signed: DataFrame) -> DataFrame:
-    """(band, tid, pivot, n) for each band that several texts share."""
+    """(band, tid, n, pivot) for each band that several texts share.
+
+    A band's pivot is its text that meets the most others over all its bands: most often the one that the rest was made from.
+    """
     every = checkpointed(signed.select("tid", F.explode("bands").alias("band")).distinct())
-    shared = checkpointed(every.groupBy("band").agg(F.count("*").alias("n"), F.min("tid").alias("pivot")).where("n > 1"))
-    return checkpointed(join_skewed(every, shared.withColumn("members", F.col("n")), ["band"], "members"))
+    shared = checkpointed(every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    members = checkpointed(join_skewed(every, shared.withColumn("members", F.col("n")), ["band"], "members"))
+    met = members.groupBy("tid").agg(F.sum("n").alias("met"))
+    pivots = members.join(met, "tid").groupBy("band").agg(F.max(F.struct("met", "tid")).alias("top"), F.count("*").alias("members"))
+    pivots = checkpointed(pivots.select("band", "members", F.col("top.tid").alias("pivot")))
+    return checkpointed(join_skewed(members, pivots, ["band"], "members"))
+
+
+def _salted(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, n) once each, with a salt that deals the partners of b over about n / 64 cells."""
+    return pairs.groupBy("a", "b").agg(F.max("n").alias("n")).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 64))).drop("n")
+
+
+def _remaining_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs that share a band but neither a class nor a comparison so far, and whose texts could still be similar enough.
+
+    Similarity s needs s / (1 + s) times both sizes in common.  What a text has in common with any other is at most its cells
+    that another of these texts has too, so those with too few, given the least size around, drop out exactly.
+    """
+    placed = members.where("n > 2").join(labels, "tid", "left").withColumn("class", F.coalesce("label", "tid")).drop("label")
+    placed = checkpointed(placed)
+    several = placed.groupBy("band").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "members")
+    held = checkpointed(join_skewed(placed, checkpointed(several), ["band"], "members"))
+
+    def cells(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("w")
+            row, key = unit_cells(*shingles(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy().astype(np.int64))))
+            yield pa.record_batch([batch.column("tid").take(pa.array(row)), pa.array(key.view(np.int64))], names=["tid", "cell"])
+
+    hashed = texts.join(held.select("tid").distinct(), "tid").select("tid", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    parts = checkpointed(hashed.mapInArrow(cells, "tid long, cell long"))
+    common = checkpointed(parts.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1"))
+    shared = join_skewed(parts, common, ["cell"], "members").groupBy("tid").agg(F.count("*").alias("shared"))
+    sizes = checkpointed(parts.groupBy("tid").agg(F.count("*").alias("size")).join(shared, "tid"))  # a text that shares nothing drops out
+    sized = checkpointed(held.join(sizes, "tid"))
+    least_sizes = checkpointed(sized.groupBy("band").agg(F.min("size").alias("least"), F.count("*").alias("members")))
+    bound = least / (1 + least) * (F.col("size") + F.greatest(F.col("size") * least, F.col("least"))) - 1e-6
+    able = checkpointed(join_skewed(sized, least_sizes, ["band"], "members").where(F.col("shared") >= bound).select("band", "tid", "class", "pivot", "n", "size"))
+
+    counts = able.groupBy("band", "class").agg(F.count("*").alias("c"))
+    main = checkpointed(counts.groupBy("band").agg(F.max(F.struct("c", "class")).alias("top"), F.sum("c").alias("members")).select("band", "members", F.col("top.class").alias("main")))
+    marked = checkpointed(join_skewed(able, main, ["band"], "members"))
+    minor = marked.where("class <> main").select("band", F.col("tid").alias("a"), F.col("class").alias("class_a"), F.col("size").alias("size_a"), F.col("pivot").alias("p"))
+    other = marked.select("band", F.col("tid").alias("b"), F.col("class").alias("class_b"), F.col("size").alias("size_b"), "n", (F.col("class") == F.col("main")).alias("is_main"))
+    close = (F.col("size_a") >= F.col("size_b") * least - 1e-6) & (F.col("size_b") >= F.col("size_a") * least - 1e-6)
+    met = minor.join(other, "band").where(close & F.expr("class_a <> class_b and a <> p and b <> p and (is_main or a < b)"))
+    return _salted(met.select("a", "b", "n"))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row of ``docs`` (doc_id and text are read): doc_id, text_key, class_id, class_size (rows), representative.
+
+    Classes are the connected components of texts with similarity of at least ``least``; equal texts are of one class.  The
+    class_id is the least doc_id of the class, null if all are null, and ``representative`` marks the rows with that doc_id
+    and one text.  Null texts count as empty; texts without words are alike only if equal.  A text of fewer than five words is
+    one shingle.  Repeated rows are judged alike.  Texts of at least that similarity share a band with a probability of
+    1 - 7e-6 or more, and texts are told apart by 128 bits of hash, their pairs by 64.  An empty table gives no rows.
+    """
+    text = text_or_empty()
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    key = {"tid": F.xxhash64("text"), "tid2": F.xxhash64(F.lit(1), "text")}
+    narrow = checkpointed(plain.select("doc_id", *(v.alias(k) for k, v in key.items())))
+    distinct = checkpointed(narrow.groupBy("tid", "tid2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+
+    hashed = plain.select(key["tid"].alias("tid"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 0)
+    members = _band_members(hashed.mapInArrow(lambda it: _sign(it, bands, rows), "tid long, bands array<long>"))
+    pairs = checkpointed(_salted(members.where("tid <> pivot").select(F.col("tid").alias("a"), F.col("pivot").alias("b"), "n")))
+    wanted = members.select("tid").distinct().join(distinct.groupBy("tid").agg(F.min(F.coalesce("first", F.lit(-(1 << 63)))).alias("first")), "tid")
+    found = plain.select(key["tid"].alias("tid"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first"), "text").join(wanted, ["tid", "first"])
+    texts = checkpointed(found.dropDuplicates(["tid"]).select("tid", "text"))
+    links = checkpointed(_links(pairs, texts, least))
+    labels = components(links)
+    more = checkpointed(_links(_remaining_pairs(members, labels, texts, least), texts, least))
+    if more.head(1):
+        labels = components(links.unionByName(more))
+
+    linked = distinct.join(labels, "tid")
+    classes = checkpointed(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct("first", "tid", "tid2")).alias("one"), F.count("*").alias("texts")))
+    joined = join_skewed(linked, classes, ["label"], "texts").select("tid", "tid2", "copies", "class_id", "class_size", ((F.col("tid") == F.col("one.tid")) & (F.col("tid2") == F.col("one.tid2"))).alias("main"))
+    alone = distinct.join(labels, "tid", "left_anti").select("tid", "tid2", "copies", F.col("first").alias("class_id"), F.col("copies").alias("class_size"), F.lit(True).alias("main"))
+    classed = checkpointed(joined.unionByName(alone))
+    out = join_skewed(narrow, classed, ["tid", "tid2"], "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return out.select("doc_id", F.col("tid").alias("text_key"), "class_id", "class_size", (F.col("main") & same).alias("representative"))

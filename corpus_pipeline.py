@@ -2,9 +2,70 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from fernweave.llm.common import documents, shared_dir, text_or_empty, tokenizer_path
+from fernweave.llm.line_dedup import dedup_lines
+from fernweave.llm.minhash import near_duplicates
+from fernweave.llm.mixing import mixed_texts
+from fernweave.llm.pieces import encode_documents
+from fernweave.llm.toxicity import score_documents, train
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels of those not held out, rejects go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; repeated chunks of lines leave their texts, and ``n_chars`` follows."""
+    out = dedup_lines(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, that of least doc_id."""
+    chosen = near_duplicates(docs).where("representative").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__text", F.xxhash64(text_or_empty()))
+    kept = keyed.join(chosen, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as much of them, as the mix takes."""
+    return mixed_texts(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each text, with what shows that they decode to it."""
+    return encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_chunks),
+    ("minhash", drop_near_copies),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+#: SQL can express neither the classifier nor the encoding.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, with a Parquet table in the shared folder between each two."""
+    folder = f"{shared_dir(spark).rstrip('/')}/fernweave-pipeline-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    return docs
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": run}

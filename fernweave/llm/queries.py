@@ -9,6 +9,7 @@ from .common import documents, tokenizer_path
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .media import media_features
+from .minhash import near_duplicates
 from .mixing import mix_documents
 from .outliers import reject_outliers
 from .pfor import token_ids
@@ -26,6 +27,10 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -58,7 +63,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_histogram_shards, op2_line_chunks, op4_toxicity, op5_robust_outliers, op6_token_blocks, op7_source_mix, op8_jpeg_media, op9_piece_encoding, op10_license_scan)
+    for f in (op1_histogram_shards, op2_line_chunks, op3_dart_minhash, op4_toxicity, op5_robust_outliers, op6_token_blocks, op7_source_mix, op8_jpeg_media, op9_piece_encoding, op10_license_scan)
 }
 
 #: DuckDB SQL by query, for those that SQL can express.

@@ -6,9 +6,10 @@ each, darts fall along the rank axis as a Poisson process of rate one whose gaps
 For each of ``k`` coordinates a text keeps its dart of least rank.  Ranks are looked at up to t / weight, with t = k ln k +
 2 k darts expected whatever the text's length, and further for the few texts that leave a coordinate empty.
 
-Texts that share a band are compared with the band's pivot, its text of least hash, and links are verified on the texts.
-Bands that still hold several classes then have their remaining pairs between classes compared, without those that a bound
-on the shingles that a text shares with any other excludes.
+Texts that share a band are compared with the band's pivot, its text that meets the most others, and links are verified on
+the texts.  Where several classes are left around a pivot, their texts are compared with a few further pivots.  What each
+text shares with the pivots bounds what any two of them can share, and only the pairs of different classes that no bound
+excludes are compared at last.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import checkpointed, join_skewed, let, text_or_empty, words
 WIDTH = 5
 BANDS, ROWS = 30, 5
 SIMILARITY = 0.8
+#: Texts around a pivot that the others there are compared with besides, where several classes are left.
+MORE_PIVOTS = 8
 #: Words that are signed at once in a task.
 SIGN_WORDS = 1 << 18
 
@@ -126,14 +129,12 @@ def text_shingles(text: str | bytes) -> Counter:
     return Counter(tuple(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))) if w else Counter()
 
 
-def similarity(a: str | bytes, b: str | bytes) -> float:
-    """Weighted Jaccard index of the shingles, on the words themselves; 0 where either text has none."""
+def overlap(a: str | bytes, b: str | bytes) -> tuple[int, int, int]:
+    """Shingles that two texts have in common, by the words themselves, and how many each has."""
     x, y = ((t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t).split() for t in (a, b))
     if not x or not y:
-        return 0.0
+        return 0, max(0, len(x) - WIDTH + 1) or int(bool(x)), max(0, len(y) - WIDTH + 1) or int(bool(y))
     nx, ny = max(1, len(x) - WIDTH + 1), max(1, len(y) - WIDTH + 1)
-    if min(nx, ny) < SIMILARITY * max(nx, ny) and min(nx, ny) / max(nx, ny) < 0.5:
-        return min(nx, ny) / max(nx, ny)  # a bound; the exact value doesn't matter so far below
     number: dict[bytes, int] = {}
     code = [np.fromiter((number.setdefault(w, len(number) + 1) for w in t), np.int64, len(t)) for t in (x, y)]
     base = len(number) + 1
@@ -153,25 +154,34 @@ def similarity(a: str | bytes, b: str | bytes) -> float:
     start = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
     in_y = np.add.reduceat(side.astype(np.int64), start)
     size = np.diff(np.concatenate([start, [len(keys)]]))
-    common = int(np.minimum(in_y, size - in_y).sum())
-    return common / (nx + ny - common)
+    return int(np.minimum(in_y, size - in_y).sum()), nx, ny
+
+
+def similarity(a: str | bytes, b: str | bytes) -> float:
+    """Weighted Jaccard index of the shingles; 0 where either text has none."""
+    common, nx, ny = overlap(a, b)
+    return common / (nx + ny - common) if common else 0.0
 
 
-def _verify(batches: Iterator, least: float) -> Iterator:
+def _overlaps(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        keep = [similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        found = np.array([overlap(a.as_py(), b.as_py()) for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True)], np.int64).reshape(-1, 3)
+        yield pa.record_batch([batch.column("a"), batch.column("b"), *(pa.array(found[:, i]) for i in range(3))], names=["a", "b", "common", "size_a", "size_b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b, salt) whose texts are similar enough.
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, salt) with the shingles in common and both sizes.
 
     A text b that many are compared with is sent once for each of its salts, so no task gets all its partners."""
     left = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
     right = pairs.select("b", "salt").distinct().join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-    return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, least), "a long, b long")
+    return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, common long, size_a long, size_b long")
+
+
+def _links(compared: DataFrame, least: float) -> DataFrame:
+    return compared.where(F.col("common") >= least * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9).select("a", "b")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -212,16 +222,16 @@ def _salted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("n").alias("n")).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 64))).drop("n")
 
 
-def _remaining_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs that share a band but neither a class nor a comparison so far, and whose texts could still be similar enough.
+def _unsettled(members: DataFrame, labels: DataFrame, texts: DataFrame, compared: DataFrame, least: float) -> DataFrame:
+    """(p, tid, size, shared, n, c0) for the texts around each pivot p that could still be similar to one that they weren't compared with.
 
-    Similarity s needs s / (1 + s) times both sizes in common.  What a text has in common with any other is at most its cells
-    that another of these texts has too, so those with too few, given the least size around, drop out exactly.
+    c0: what a text has in common with p; shared: what some other of these texts has too.  Similarity s needs
+    s / (1 + s) times both sizes in common, so texts with too little of both, given the least size around, drop out exactly.
     """
-    placed = members.where("n > 2").join(labels, "tid", "left").withColumn("class", F.coalesce("label", "tid")).drop("label")
+    placed = members.where("n > 2").groupBy(F.col("pivot").alias("p"), "tid").agg(F.max("n").alias("n")).join(labels, "tid", "left").withColumn("class", F.coalesce("label", "tid")).drop("label")
     placed = checkpointed(placed)
-    several = placed.groupBy("band").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "members")
-    held = checkpointed(join_skewed(placed, checkpointed(several), ["band"], "members"))
+    several = placed.groupBy("p").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("p", "members")
+    held = checkpointed(join_skewed(placed, checkpointed(several), ["p"], "members"))
 
     def cells(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -236,19 +246,49 @@ def _remaining_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, le
     common = checkpointed(parts.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1"))
     shared = join_skewed(parts, common, ["cell"], "members").groupBy("tid").agg(F.count("*").alias("shared"))
     sizes = checkpointed(parts.groupBy("tid").agg(F.count("*").alias("size")).join(shared, "tid"))  # a text that shares nothing drops out
-    sized = checkpointed(held.join(sizes, "tid"))
-    least_sizes = checkpointed(sized.groupBy("band").agg(F.min("size").alias("least"), F.count("*").alias("members")))
+    near = compared.select(F.col("a").alias("tid"), F.col("b").alias("p"), F.col("common").alias("c0"))
+    sized = held.join(sizes, "tid").join(near, ["p", "tid"], "left").withColumn("c0", F.coalesce("c0", "size"))  # the pivot itself has all
+    sized = checkpointed(sized)
+    least_sizes = checkpointed(sized.groupBy("p").agg(F.min("size").alias("least"), F.count("*").alias("members")))
     bound = least / (1 + least) * (F.col("size") + F.greatest(F.col("size") * least, F.col("least"))) - 1e-6
-    able = checkpointed(join_skewed(sized, least_sizes, ["band"], "members").where(F.col("shared") >= bound).select("band", "tid", "class", "pivot", "n", "size"))
-
-    counts = able.groupBy("band", "class").agg(F.count("*").alias("c"))
-    main = checkpointed(counts.groupBy("band").agg(F.max(F.struct("c", "class")).alias("top"), F.sum("c").alias("members")).select("band", "members", F.col("top.class").alias("main")))
-    marked = checkpointed(join_skewed(able, main, ["band"], "members"))
-    minor = marked.where("class <> main").select("band", F.col("tid").alias("a"), F.col("class").alias("class_a"), F.col("size").alias("size_a"), F.col("pivot").alias("p"))
-    other = marked.select("band", F.col("tid").alias("b"), F.col("class").alias("class_b"), F.col("size").alias("size_b"), "n", (F.col("class") == F.col("main")).alias("is_main"))
-    close = (F.col("size_a") >= F.col("size_b") * least - 1e-6) & (F.col("size_b") >= F.col("size_a") * least - 1e-6)
-    met = minor.join(other, "band").where(close & F.expr("class_a <> class_b and a <> p and b <> p and (is_main or a < b)"))
-    return _salted(met.select("a", "b", "n"))
+    able = join_skewed(sized, least_sizes, ["p"], "members").where(F.col("shared") >= bound)
+    return checkpointed(able.select("p", "tid", "size", "shared", "n", "c0"))
+
+
+def _more_pivots(able: DataFrame, labels: DataFrame) -> DataFrame:
+    """(p, slot, q): further pivots around p, of those outside its class the one nearest to p in each slot of a hash."""
+    other = able.join(labels, "tid", "left").withColumn("class", F.coalesce("label", "tid")).drop("label")
+    own = labels.select(F.col("tid").alias("p"), F.col("label").alias("main"))
+    apart = other.join(own, "p", "left").where(F.col("class") != F.coalesce("main", "p"))
+    slot = F.pmod(F.xxhash64("tid", "p"), F.lit(MORE_PIVOTS)).cast("int")
+    return apart.groupBy("p", slot.alias("slot")).agg(F.max_by("tid", F.struct(F.col("c0") / F.col("size"), "tid")).alias("q"))
+
+
+def _remaining_pairs(able: DataFrame, labels: DataFrame, pivots: DataFrame, compared: DataFrame, least: float) -> DataFrame:
+    """Pairs around a pivot that are of different classes, weren't compared, and may be similar enough by every pivot's bound:
+    of what two texts share, no more lies in a pivot than what either has in common with it, and no more beside it than the
+    lesser of what each has there."""
+    slots = range(MORE_PIVOTS)
+    met = pivots.join(compared.select(F.col("a").alias("tid"), F.col("b").alias("q"), F.col("common").alias("c")), "q")
+    wide = met.groupBy("p", "tid").agg(*(F.max(F.when(F.col("slot") == k, F.col("c"))).alias(f"c{k + 1}") for k in slots))
+    known = able.join(wide, ["p", "tid"], "left").join(labels, "tid", "left").withColumn("class", F.coalesce("label", "tid")).drop("label")
+    known = checkpointed(known)
+    counts = known.groupBy("p", "class").agg(F.count("*").alias("c"))
+    main = checkpointed(counts.groupBy("p").agg(F.max(F.struct("c", "class")).alias("top"), F.sum("c").alias("members")).select("p", "members", F.col("top.class").alias("main")))
+    marked = checkpointed(join_skewed(known, main.withColumn("around", F.col("members")), ["p"], "members"))
+
+    cells = F.ceil(F.col("around") / 2048)  # a large group's minor texts are dealt over so many tasks, the others go to each
+    columns = ["tid", "class", "size", "shared", *(f"c{k}" for k in range(MORE_PIVOTS + 1))]
+    minor = marked.where("class <> main").select("p", F.pmod(F.xxhash64("tid"), cells).alias("cell"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    other = marked.select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)).alias("cell"), "n", (F.col("class") == F.col("main")).alias("is_main"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    need = least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    may = F.expr("class_a <> class_b and tid_a <> p and tid_b <> p and (is_main or tid_a < tid_b)")
+    may = may & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6)
+    for k in range(MORE_PIVOTS + 1):
+        inside = F.least(f"c{k}_a", f"c{k}_b")
+        beside = F.least(*(F.greatest(F.col(f"shared_{s}") - F.col(f"c{k}_{s}"), F.lit(0)) for s in "ab"))
+        may = may & F.coalesce(inside + beside >= need, F.lit(True))
+    return _salted(minor.join(other, ["p", "cell"]).where(may).select(F.col("tid_a").alias("a"), F.col("tid_b").alias("b"), "n"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -272,11 +312,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     wanted = members.select("tid").distinct().join(distinct.groupBy("tid").agg(F.min(F.coalesce("first", F.lit(-(1 << 63)))).alias("first")), "tid")
     found = plain.select(key["tid"].alias("tid"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first"), "text").join(wanted, ["tid", "first"])
     texts = checkpointed(found.dropDuplicates(["tid"]).select("tid", "text"))
-    links = checkpointed(_links(pairs, texts, least))
+    compared = checkpointed(_compared(pairs, texts))
+    links = _links(compared, least)
     labels = components(links)
-    more = checkpointed(_links(_remaining_pairs(members, labels, texts, least), texts, least))
-    if more.head(1):
-        labels = components(links.unionByName(more))
+    able = _unsettled(members, labels, texts, compared, least)
+    if able.head(1):
+        pivots = checkpointed(_more_pivots(able, labels))
+        wanted = able.join(pivots, "p").where("tid <> q and tid <> p").select(F.col("tid").alias("a"), F.col("q").alias("b"), "n")
+        again = checkpointed(_compared(checkpointed(_salted(wanted)), texts))
+        links = links.unionByName(_links(again, least))
+        labels = components(links)
+        rest = checkpointed(_remaining_pairs(able, labels, pivots, again, least))
+        if rest.head(1):
+            more = checkpointed(_links(_compared(rest, texts), least))
+            if more.head(1):
+                labels = components(links.unionByName(more))
 
     linked = distinct.join(labels, "tid")
     classes = checkpointed(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct("first", "tid", "tid2")).alias("one"), F.count("*").alias("texts")))

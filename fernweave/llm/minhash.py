@@ -194,7 +194,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         seen = both.join(labels, both["b"] == labels["tid"]).groupBy("a").agg(F.min("label").alias("near"))
         passed = labels.join(seen, labels["tid"] == seen["a"]).select("tid", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        passed = checkpointed(passed)
         further = labels.select(F.col("tid").alias("mid"), F.col("label").alias("next"))
         new = checkpointed(passed.join(further, "mid").select("tid", F.least("mid", "next").alias("label"), (F.least("mid", "next") < F.col("old")).alias("changed")))
         labels = new.select("tid", "label")
@@ -319,14 +318,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     if able.head(1):
         pivots = checkpointed(_more_pivots(able, labels))
         wanted = able.join(pivots, "p").where("tid <> q and tid <> p").select(F.col("tid").alias("a"), F.col("q").alias("b"), "n")
-        again = checkpointed(_compared(checkpointed(_salted(wanted)), texts))
-        links = links.unionByName(_links(again, least))
-        labels = components(links)
+        again = checkpointed(_compared(_salted(wanted), texts))
         rest = checkpointed(_remaining_pairs(able, labels, pivots, again, least))
-        if rest.head(1):
-            more = checkpointed(_links(_compared(rest, texts), least))
-            if more.head(1):
-                labels = components(links.unionByName(more))
+        more = checkpointed(_links(again, least).unionByName(_links(_compared(rest, texts), least)))
+        if more.head(1):
+            labels = components(links.unionByName(more))
 
     linked = distinct.join(labels, "tid")
     classes = checkpointed(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct("first", "tid", "tid2")).alias("one"), F.count("*").alias("texts")))

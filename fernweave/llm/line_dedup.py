@@ -1,8 +1,9 @@
 """Line dedup: content-defined chunks of lines, removed where they repeat across the corpus.
 
-A rolling hash over the hashes of the last two lines chooses where a chunk ends, so that boundaries depend on the lines
-around them alone and a passage is cut alike wherever it stands.  Of each chunk of two or more lines that occurs again, the
-first occurrence stays (by doc_id, text hash and position) and those that equal it byte for byte go.
+A rolling hash over the hashes of each two neighbouring lines chooses where a chunk ends: where it is less than at the lines
+before and after.  Chunks so have two lines at least and about three on average, and boundaries depend on the lines around
+them alone, so that a passage is cut alike wherever it stands.  Of each chunk that occurs again, the first occurrence stays
+(by doc_id, text hash and position) and those that equal it byte for byte go.
 """
 
 from __future__ import annotations
@@ -12,24 +13,23 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, join_skewed, let
 
-#: One line in so many ends a chunk, on average.
-DIVISOR = 2
 
-
-def chunks(text: Column, divisor: int = DIVISOR) -> Column:
-    """Array of (n_lines, text), in order; the texts joined by line feeds are ``text``."""
+def chunks(text: Column) -> Column:
+    """Array of (n_lines, text), in order; the texts joined by line feeds are ``text``.  Only a text of one line has a chunk of one."""
 
     def cut(lines: Column) -> Column:
         last = F.size(lines) - 1
-        ends = lambda h: F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.xxhash64(h[F.greatest(i - 1, F.lit(0))], h[i]), F.lit(divisor)) == 0))
+        rolling = lambda h: F.transform(h, lambda x, i: F.xxhash64(h[F.greatest(i - 1, F.lit(0))], x))
+        least = lambda r, i: (i > 0) & (i < last - 1) & (r[i] < r[F.greatest(i - 1, F.lit(0))]) & (r[i] <= r[F.least(i + 1, last)])
+        ends = lambda r: F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | least(r, i))
         spans = lambda e: F.transform(e, lambda x, j: F.struct(F.when(j == 0, 0).otherwise(e[F.greatest(j - 1, F.lit(0))] + 1).alias("start"), x.alias("end")))
-        found = let(let(F.transform(lines, lambda x: F.xxhash64(x)), ends), spans)
+        found = let(let(let(F.transform(lines, lambda x: F.xxhash64(x)), rolling), ends), spans)
         return F.transform(found, lambda s: F.struct((s["end"] - s["start"] + 1).alias("n_lines"), F.array_join(F.slice(lines, s["start"] + 1, s["end"] - s["start"] + 1), "\n").alias("text")))
 
     return let(F.split(text, "\n", -1), cut)
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated multi-line chunks taken out of ``text``, and n_lines, n_removed (lines).
 
     All rows stay; a text of which nothing is left becomes empty, a null text stays null and counts no lines.  Rows alike in
@@ -40,7 +40,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     keyed = docs.select(*keep, doc.alias("__doc"), F.xxhash64("text").alias("__text"))
-    placed = keyed.select("__doc", "__text", F.posexplode(chunks(F.col("text"), divisor)).alias("pos", "chunk")).where("chunk.n_lines > 1")
+    placed = keyed.select("__doc", "__text", F.posexplode(chunks(F.col("text"))).alias("pos", "chunk")).where("chunk.n_lines > 1")
     found = checkpointed(placed.select("__doc", "__text", "pos", F.xxhash64("chunk.text").alias("hash"), F.octet_length("chunk.text").alias("bytes")).distinct())
 
     place = ("__doc", "__text", "pos")
@@ -49,7 +49,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
     owners = first.select("hash", "n", "bytes", *(F.col(f"first.{c}").alias(c) for c in place)).groupBy("__doc", "__text").agg(F.collect_list(F.struct("pos", "hash", "n", "bytes")).alias("own"))
     held = keyed.select("__doc", "__text", "text").join(owners, ["__doc", "__text"]).dropDuplicates(["__doc", "__text"])
-    held = held.select(let(chunks(F.col("text"), divisor), lambda c: F.transform("own", lambda o: F.struct(o["hash"].alias("hash"), o["n"].alias("n"), o["bytes"].alias("bytes"), c[o["pos"]]["text"].alias("first")))).alias("own"))
+    held = held.select(let(chunks(F.col("text")), lambda c: F.transform("own", lambda o: F.struct(o["hash"].alias("hash"), o["n"].alias("n"), o["bytes"].alias("bytes"), c[o["pos"]]["text"].alias("first")))).alias("own"))
     texts = checkpointed(held.select(F.explode("own").alias("o")).select("o.*"))
 
     again = join_skewed(found.drop("bytes"), first.select("hash", "n", "bytes", *(F.col(f"first.{c}").alias(f"first{c}") for c in place)), ["hash"], "n", "bytes")
@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
     joined = keyed.join(marks, ["__doc", "__text"], "left")
     same = lambda c, i: F.exists("marks", lambda m: (m["pos"] == i) & (m["first"] == c["text"]))
-    kept = let(chunks(F.col("text"), divisor), lambda all_: F.filter(all_, lambda c, i: ~same(c, i)))
+    kept = let(chunks(F.col("text")), lambda all_: F.filter(all_, lambda c, i: ~same(c, i)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     rest = joined.withColumns({"n_lines": n_lines, "__kept": F.when(F.col("marks").isNotNull(), kept)})
     left = F.aggregate("__kept", F.lit(0), lambda a, c: a + c["n_lines"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished plans have left: their objects, and through Spark's cleaner their shuffle files, which
+    otherwise stay until it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_groups: int, how: str = "left", salts: int = 32) -> DataFrame:
     """Give each row what a table with one row for each key says of its key; keys may be null.
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_skewed, let, text_or_empty, words
+from .common import checkpointed, join_skewed, release, text_or_empty, words
 
 WIDTH = 5
 BANDS, ROWS = 30, 5
@@ -221,6 +221,15 @@ def _salted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("n").alias("n")).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 64))).drop("n")
 
 
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between different classes, as pairs of their labels; a text without a label is its own class."""
+    out = links
+    for end in "ab":
+        of = labels.withColumnsRenamed({"tid": end, "label": f"{end}_label"})
+        out = out.join(of, end, "left").withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
+    return checkpointed(out.where("a <> b").distinct())
+
+
 def _unsettled(members: DataFrame, labels: DataFrame, texts: DataFrame, compared: DataFrame, least: float) -> DataFrame:
     """(p, tid, size, shared, n, c0) for the texts around each pivot p that could still be similar to one that they weren't compared with.
 
@@ -312,6 +321,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     found = plain.select(key["tid"].alias("tid"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first"), "text").join(wanted, ["tid", "first"])
     texts = checkpointed(found.dropDuplicates(["tid"]).select("tid", "text"))
     compared = checkpointed(_compared(pairs, texts))
+    release(docs.sparkSession)
     links = _links(compared, least)
     labels = components(links)
     able = _unsettled(members, labels, texts, compared, least)
@@ -320,10 +330,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
         wanted = able.join(pivots, "p").where("tid <> q and tid <> p").select(F.col("tid").alias("a"), F.col("q").alias("b"), "n")
         again = checkpointed(_compared(_salted(wanted), texts))
         rest = checkpointed(_remaining_pairs(able, labels, pivots, again, least))
-        more = checkpointed(_links(again, least).unionByName(_links(_compared(rest, texts), least)))
+        more = _between(_links(again, least).unionByName(_links(_compared(rest, texts), least)), labels)
         if more.head(1):
-            labels = components(links.unionByName(more))
+            joined = components(more).withColumnsRenamed({"tid": "label", "label": "to"})
+            every = labels.unionByName(joined.select(F.col("label").alias("tid"), "label").join(labels.select("tid"), "tid", "left_anti"))
+            labels = checkpointed(every.join(joined, "label", "left").select("tid", F.coalesce("to", "label").alias("label")))
 
+    release(docs.sparkSession)
     linked = distinct.join(labels, "tid")
     classes = checkpointed(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct("first", "tid", "tid2")).alias("one"), F.count("*").alias("texts")))
     joined = join_skewed(linked, classes, ["label"], "texts").select("tid", "tid2", "copies", "class_id", "class_size", ((F.col("tid") == F.col("one.tid")) & (F.col("tid2") == F.col("one.tid2"))).alias("main"))

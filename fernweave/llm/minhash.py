@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
         rest = checkpointed(_remaining_pairs(able, labels, pivots, again, least))
         more = _between(_links(again, least).unionByName(_links(_compared(rest, texts), least)), labels)
         if more.head(1):
-            joined = components(more).withColumnsRenamed({"tid": "label", "label": "to"})
+            joined = components(more).select(F.col("tid").alias("label"), F.col("label").alias("to"))
             every = labels.unionByName(joined.select(F.col("label").alias("tid"), "label").join(labels.select("tid"), "tid", "left_anti"))
             labels = checkpointed(every.join(joined, "label", "left").select("tid", F.coalesce("to", "label").alias("label")))
 

@@ -114,6 +114,13 @@ def test_near_duplicates(spark, rows):
             w[rng.randrange(90)] = f"z{rng.randrange(40)}"
         text[" ".join(w)].append(extra)
         extra += 1
+    for i in range(40):  # copies of copies, which are near to those alone
+        w = list(base)
+        for j in range(2):
+            at = rng.randrange(40)
+            w = w[:at] + [f"c{i}_{j}"] * 7 + w[at:]
+            text[" ".join(w)].append(extra)
+            extra += 1
     docs = spark.createDataFrame([(i, t) for t, ids in text.items() for i in ids], "doc_id long, text string")
     keys = list(text)
     parent = {t: t for t in keys}

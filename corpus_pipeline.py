@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.llm.common import documents, shared_dir, text_or_empty, tokenizer_path
-from fernweave.llm.line_dedup import dedup_lines
+from fernweave.llm.line_dedup import dedup_passages
 from fernweave.llm.minhash import near_duplicates
 from fernweave.llm.mixing import mixed_texts
 from fernweave.llm.pieces import encode_documents
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; repeated chunks of lines leave their texts, and ``n_chars`` follows."""
-    out = dedup_lines(docs)
+    """All documents stay; repeated passages and chunks of lines leave their texts, and ``n_chars`` follows."""
+    out = dedup_passages(docs)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, tokenizer_path
 from .licenses import scan_licenses
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_passages
 from .media import media_features
 from .minhash import near_duplicates
 from .mixing import mix_documents
@@ -24,7 +24,7 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_passages(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Quality rules: robust multivariate outliers among text statistics, per language and source.
+"""Quality rules: robust multivariate outliers among text statistics, per language and source, or where these have few rows per
+language or over all.
 
 A minimum-covariance-determinant estimate of centre and scatter is found by concentration steps from a start at medians and
 median absolute deviations: keep the share ``h`` of a group's rows with the least distances, estimate again, repeat.
@@ -17,6 +18,8 @@ from .common import WORD_GAP, checkpointed, join_groups, let, text_or_empty, wor
 #: Transformed statistics, with the least scale each is given (in natural-log units), for groups where it hardly varies.
 STATISTICS = {"word_length": 0.08, "symbol_share": 0.7, "dup_line_share": 0.9, "repeat_share": 0.7}
 GROUP = ["lang", "source"]
+#: What an estimate is made of: 0 a language's source, 1 a language (source null), 2 all rows (both null).
+FIT = ["level", "fit_lang", "fit_source"]
 
 
 def _chi2_cdf(x: float, df: int) -> float:
@@ -79,10 +82,24 @@ def _distance(xs: list[Column], centre: list[Column], factor: list[list[Column]]
     return sum((y * y for y in ys[1:]), ys[0] * ys[0])
 
 
+def _fitted(rows: DataFrame, level: Column) -> DataFrame:
+    """``rows`` with the key of the estimate of that level that they belong to."""
+    kept = rows.withColumn("level", level)
+    return kept.withColumns({"fit_lang": F.when(F.col("level") < 2, F.col("lang")), "fit_source": F.when(F.col("level") < 1, F.col("source"))})
+
+
+def _levels(stats: DataFrame, min_rows: int) -> tuple[DataFrame, int]:
+    """Per language and source the level whose estimate judges it, and how many of them there are."""
+    groups = checkpointed(stats.groupBy(*GROUP).agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("rows")))
+    langs = checkpointed(groups.groupBy("lang").agg(F.sum("rows").alias("lang_rows")))
+    level = F.when(F.col("rows") >= min_rows, 0).when(F.col("lang_rows") >= min_rows, 1).otherwise(2)
+    return checkpointed(join_groups(groups, langs, ["lang"], langs.count()).select(*GROUP, level.alias("level"))), groups.count()
+
+
 def _estimates(kept: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
     """Per group: n, centre m_i, and the Cholesky factor l_i_j of the scatter, whose diagonal gets the least scales added."""
     d = range(len(names))
-    sums = kept.groupBy(*GROUP).agg(F.count("*").alias("n"), *(F.sum(names[i]).alias(f"s_{i}") for i in d), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)))
+    sums = kept.groupBy(*FIT).agg(F.count("*").alias("n"), *(F.sum(names[i]).alias(f"s_{i}") for i in d), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)))
     out = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in d})
     out = out.withColumns({f"c_{i}_{j}": F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}") + F.lit((1000 * floors[i]) ** 2 if i == j else 0.0) for i in d for j in range(i + 1)})
     for i in d:
@@ -91,45 +108,50 @@ def _estimates(kept: DataFrame, names: list[str], floors: list[float]) -> DataFr
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return out.select(*GROUP, "n", *(f"m_{i}" for i in d), *(f"l_{i}_{j}" for i in d for j in range(i + 1)), sum((F.log(f"l_{i}_{i}") for i in d), F.lit(0.0)).alias("log_det"))
+    return out.select(*FIT, "n", *(f"m_{i}" for i in d), *(f"l_{i}_{j}" for i in d for j in range(i + 1)), sum((F.log(f"l_{i}_{i}") for i in d), F.lit(0.0)).alias("log_det"))
 
 
 def reject_outliers(docs: DataFrame, h: float = 0.75, p: float = 0.9999, max_steps: int = 6, min_rows: int = 40) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     ``kept`` is false where a base rule fails, or where the squared robust distance within the row's language and source is
-    beyond the chi-square quantile ``p``.  Groups with fewer than ``min_rows`` rows that pass the base rules keep those.
+    beyond the chi-square quantile ``p``.  A group with fewer than ``min_rows`` rows that pass the base rules is judged by the
+    estimate of all rows of its language, and where that has too few as well, by the estimate of the whole table.
     Null languages and sources are groups of their own.  Null and empty texts have no words and fail.  Repeated rows are
     judged each.  An empty table gives no rows.  Only doc_id, text, lang and source are read.
     """
     names, floors = list(STATISTICS), list(STATISTICS.values())
     d = range(len(names))
-    stats = checkpointed(text_statistics(docs))
-    rows = stats.where("not base_failed").select(*GROUP, *names)
-
-    medians = checkpointed(rows.groupBy(*GROUP).agg(F.count("*").alias("rows"), *(F.percentile(n, F.lit(0.5)).alias(f"m_{i}") for i, n in enumerate(names))))
+    plain = checkpointed(text_statistics(docs))
+    levels, n_levels = _levels(plain, min_rows)
+    stats = _fitted(join_groups(plain, levels, GROUP, n_levels), F.col("level"))
+    used = checkpointed(_fitted(levels, F.col("level")).select(*FIT).distinct())
+    passed = plain.where("not base_failed").select(*GROUP, *names)
+    rows = join_groups(_fitted(passed, F.explode(F.array(*map(F.lit, range(3))))), used, FIT, used.count(), "inner").select(*FIT, *names)
+
+    medians = checkpointed(rows.groupBy(*FIT).agg(F.count("*").alias("rows"), *(F.percentile(n, F.lit(0.5)).alias(f"m_{i}") for i, n in enumerate(names))))
     n_groups = medians.count()
-    spread = join_groups(rows, medians, GROUP, n_groups).groupBy(*GROUP).agg(F.max("rows").alias("n"), *(F.max(f"m_{i}").alias(f"m_{i}") for i in d), *(F.percentile(F.abs(F.col(n) - F.col(f"m_{i}")), F.lit(0.5)).alias(f"mad_{i}") for i, n in enumerate(names)))
+    spread = join_groups(rows, medians, FIT, n_groups).groupBy(*FIT).agg(F.max("rows").alias("n"), *(F.max(f"m_{i}").alias(f"m_{i}") for i in d), *(F.percentile(F.abs(F.col(n) - F.col(f"m_{i}")), F.lit(0.5)).alias(f"mad_{i}") for i, n in enumerate(names)))
     scale = {f"l_{i}_{j}": F.sqrt((1.4826 * F.col(f"mad_{i}")) ** 2 + (1000 * floors[i]) ** 2) if i == j else F.lit(0.0) for i in d for j in range(i + 1)}
     model = checkpointed(spread.withColumns(scale | {"log_det": F.lit(1e300)}).drop(*(f"mad_{i}" for i in d)))
 
     def measured(rows: DataFrame, model: DataFrame) -> DataFrame:
-        joined = join_groups(rows, model, GROUP, n_groups)
+        joined = join_groups(rows, model, FIT, n_groups)
         square = _distance([F.col(n) for n in names], [F.col(f"m_{i}") for i in d], [[F.col(f"l_{i}_{j}") for j in range(i + 1)] for i in d])
-        return joined.withColumn("distance", square).drop(*(c for c in model.columns if c not in (*GROUP, "n")))
+        return joined.withColumn("distance", square).drop(*(c for c in model.columns if c not in (*FIT, "n")))
 
     for _ in range(max_steps):
         graded = measured(rows, model).withColumn("grade", F.floor(200 * F.log1p("distance")).cast("int"))
-        limits = graded.groupBy(*GROUP).agg(F.percentile("grade", F.lit(h)).alias("limit"))
-        inner = join_groups(graded, limits, GROUP, n_groups).where(F.col("grade") <= F.ceil("limit"))
-        new = checkpointed(_estimates(inner.select(*GROUP, *names), names, floors))
-        change = join_groups(new.select(*GROUP, F.col("log_det").alias("now")), model.select(*GROUP, "log_det"), GROUP, n_groups).agg(F.max(F.abs(F.col("now") - F.col("log_det")))).first()[0]
+        limits = graded.groupBy(*FIT).agg(F.percentile("grade", F.lit(h)).alias("limit"))
+        inner = join_groups(graded, limits, FIT, n_groups).where(F.col("grade") <= F.ceil("limit"))
+        new = checkpointed(_estimates(inner.select(*FIT, *names), names, floors))
+        change = join_groups(new.select(*FIT, F.col("log_det").alias("now")), model.select(*FIT, "log_det"), FIT, n_groups).agg(F.max(F.abs(F.col("now") - F.col("log_det")))).first()[0]
         model = new
         if change is None or change < 1e-3:
             break
 
     within = chi2_quantile(h, len(names))
     correction = h / _chi2_cdf(within, len(names) + 2)  # the inner rows alone would make the scatter too small
-    judged = join_groups(measured(stats, model.drop("n")), medians.select(*GROUP, "rows"), GROUP, n_groups)
-    verdict = ~F.col("base_failed") & ((F.coalesce("rows", F.lit(0)) < min_rows) | F.coalesce(F.col("distance") / correction <= chi2_quantile(p, len(names)), F.lit(True)))
+    judged = measured(stats, model.drop("n"))
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") / correction <= chi2_quantile(p, len(names)), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), (F.col("distance") / correction).alias("distance"))

@@ -2,11 +2,11 @@
 
 import random
 
-import pytest
-
-from fernweave.llm.line_dedup import chunks, dedup_lines, dedup_passages
 from pyspark.sql import functions as F
 
+from fernweave.llm.line_dedup import chunks, dedup_passages
+from fernweave.llm.outliers import reject_outliers
+
 
 def _gone(texts, cut, most=50):
     """Brute force: for each text the lines within a run that stands at an earlier place (2 lines or more, over ``most`` words, or a chunk)."""
@@ -59,3 +59,15 @@ def test_passages_on_odd_rows(spark):
     assert dedup_passages(docs.limit(0)).count() == 0
     same = spark.createDataFrame([(1, a), (1, a)], "doc_id long, text string")
     assert [r.text for r in dedup_passages(same).collect()] == [a, a]
+
+
+def test_outliers_in_small_groups_are_judged(spark):
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(60))
+    joined = " ".join("".join(rng.choices("abcdefgh", k=40)) for _ in range(60))
+    rows = [(prose(), "en", f"s{i % 20}") for i in range(200)] + [(prose(), f"l{i}", None) for i in range(30)]  # sources of ten rows, languages of one
+    rows += [(joined, "en", "s0"), (" ".join(f"{x}#$%&" for x in prose().split()), "en", "only this"), (joined, None, "s1"), (prose(), None, "s1")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in reject_outliers(docs).collect()}
+    assert [got[i].kept for i in range(230, 234)] == [False, False, False, True] and sum(r.kept for r in got.values()) >= 229
+    assert len(got) == 234 and all(r.distance is not None for r in got.values())

@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
 
     release(docs.sparkSession)
     linked = distinct.join(labels, "tid")
-    classes = checkpointed(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct("first", "tid", "tid2")).alias("one"), F.count("*").alias("texts")))
+    classes = checkpointed(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("first").isNull(), "first", "tid", "tid2")).alias("one"), F.count("*").alias("texts")))
     joined = join_skewed(linked, classes, ["label"], "texts").select("tid", "tid2", "copies", "class_id", "class_size", ((F.col("tid") == F.col("one.tid")) & (F.col("tid2") == F.col("one.tid2"))).alias("main"))
     alone = distinct.join(labels, "tid", "left_anti").select("tid", "tid2", "copies", F.col("first").alias("class_id"), F.col("copies").alias("class_size"), F.lit(True).alias("main"))
     classed = checkpointed(joined.unionByName(alone))

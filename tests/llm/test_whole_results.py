@@ -2,9 +2,11 @@
 
 import random
 
+import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from fernweave.llm.line_dedup import chunks, dedup_passages
+from fernweave.llm.minhash import near_duplicates
 from fernweave.llm.outliers import reject_outliers
 
 
@@ -71,3 +73,11 @@ def test_outliers_in_small_groups_are_judged(spark):
     got = {r.doc_id: r for r in reject_outliers(docs).collect()}
     assert [got[i].kept for i in range(230, 234)] == [False, False, False, True] and sum(r.kept for r in got.values()) >= 229
     assert len(got) == 234 and all(r.distance is not None for r in got.values())
+
+
+def test_near_copies_with_a_null_id_keep_one(spark):
+    w = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(None, " ".join(w)), (5, " ".join([*w, "more"]))], "doc_id long, text string").coalesce(1)
+    got = near_duplicates(docs).collect()
+    assert [(r.class_id, r.class_size) for r in got] == [(5, 2)] * 2 and [r.doc_id for r in got if r.representative] == [5]
+    assert [r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()] == [5]

@@ -122,22 +122,27 @@ class UnitEncoder:
     """Encodes texts cut at blanks; the tokenizers library sees each distinct unit once, until too many are remembered.
 
     New units are joined again for the library, so that it makes few results, and are told apart by the bytes of each id.
+    With ``added_tokens``, the strings of the vocabulary's added tokens get the ids of these, as the library gives them by
+    default, and a text that holds one goes to it whole; otherwise they are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks use the cores
         kept = vars(tokenizers).setdefault("_fernweave_units", {})  # outlives a task, as the worker does
         if path not in kept:
             tokenizer = tokenizers.Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            tokenizer.encode_special_tokens = True  # their strings in a unit are ordinary text
+            whole = tokenizers.Tokenizer.from_file(path)
+            added = [t.content for t in whole.get_added_tokens_decoder().values()]
             size = np.zeros(tokenizer.get_vocab_size(), np.int64)
             for token, i in tokenizer.get_vocab().items():
                 size[i] = len(token)  # byte-level: a character for each byte
             kept.clear()
-            kept[path] = tokenizer, size, {}
-        self.tokenizer, self.size, self.known = kept[path]
+            kept[path] = tokenizer, size, {}, whole, re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.tokenizer, self.size, self.known, self.whole, self.added = kept[path]
+        self.added_tokens = added_tokens
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -156,6 +161,15 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        at = [i for i, t in enumerate(texts) if self.added.search(t)] if self.added_tokens else []
+        if at:
+            whole = self.whole.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)
+            ids = {i: np.array(x.ids, "<u4").tobytes() for i, x in zip(at, whole, strict=True)}
+            rest = iter(self._encode([t for i, t in enumerate(texts) if i not in ids]))
+            return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") if not _ODD.search(t) else [u[i > 0 :] for i, u in enumerate(_CUT.split(t))] for t in texts]
         firsts = [s.pop(0) for s in split]
         if len(self.known) > KEPT_UNITS:
@@ -172,7 +186,7 @@ class UnitEncoder:
         return [f.tobytes() + b"".join(map(self.known.__getitem__, s)) for f, s in zip(self._ids(firsts), split, strict=True)]
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, added_tokens: bool = False) -> None:
     """Encode the whole texts of ``docs`` and write the files to ``path``, in ascending doc_id order.
 
     Rows are dealt by ranges of doc_id and then of the text's hash, which splits a doc_id of very many rows; null doc_ids
@@ -183,7 +197,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> No
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = UnitEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = UnitEncoder(tokenizer, added_tokens), np.array([end_id], "<u4").tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         parts: list[bytes] = []
@@ -244,12 +258,12 @@ def read_ids(spark, path: str) -> DataFrame:
     return joined.select((F.col("base") + F.col("before")).alias("start"), "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
     """Write ``docs`` to files in the shared folder and read them back; see :func:`write_ids` and :func:`read_ids`.
 
     An empty table gives no rows.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fernweave-ids-{uuid.uuid4().hex}"
-    write_ids(docs, tokenizer, path)
+    write_ids(docs, tokenizer, path, added_tokens=added_tokens)
     return read_ids(spark, path)

@@ -42,7 +42,7 @@ def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_ids(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return token_ids(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

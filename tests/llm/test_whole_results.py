@@ -1,10 +1,15 @@
 """Places where the operators once did less than the whole job."""
 
 import random
+import zlib
 
 import corpus_pipeline as P
+import numpy as np
+import tokenizers
 from pyspark.sql import functions as F
 
+from fernweave.llm import queries as Q
+from fernweave.llm.common import tokenizer_path
 from fernweave.llm.line_dedup import chunks, dedup_passages
 from fernweave.llm.minhash import near_duplicates
 from fernweave.llm.outliers import reject_outliers
@@ -81,3 +86,14 @@ def test_near_copies_with_a_null_id_keep_one(spark):
     got = near_duplicates(docs).collect()
     assert [(r.class_id, r.class_size) for r in got] == [(5, 2)] * 2 and [r.doc_id for r in got if r.representative] == [5]
     assert [r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()] == [5]
+
+
+def test_added_tokens_get_their_ids(spark, tmp_path):
+    texts = ["a<|endoftext|>b", "plain words here", "<|endoftext|>", "x <|endoftext|> <|endoftext|>y", "", "plain words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    library, start = tokenizers.Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), 0
+    got = sorted(map(tuple, Q.op6_token_blocks(spark, str(tmp_path)).collect()))
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (i, start, len(ids), zlib.crc32(ids.tobytes())) and (50256 in ids) == ("<|" in t)
+        start += len(ids)

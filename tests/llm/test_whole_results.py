@@ -88,6 +88,17 @@ def test_near_copies_with_a_null_id_keep_one(spark):
     assert [r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()] == [5]
 
 
+def test_each_share_alone_can_pass_the_limit(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 8)))
+    texts = ["\n".join(" ".join(word() for _ in range(10)) for _ in range(6)) for _ in range(200)]
+    texts += ["\n".join([" ".join(word() for _ in range(300)), *["ab cdef"] * 10, "gh abcd"]), " ".join([*(word() for _ in range(200)), *["abc defg abcd fgh hgf"] * 2 * 4])]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in reject_outliers(docs).collect()}
+    assert got[200].n_dup_lines == 9 and not got[200].base_failed and not got[201].base_failed and 0.16 < got[201].n_repeat_words / got[201].n_words <= 0.2
+    assert not got[200].kept and not got[201].kept and sum(r.kept for r in got.values()) >= 198
+
+
 def test_added_tokens_get_their_ids(spark, tmp_path):
     texts = ["a<|endoftext|>b", "plain words here", "<|endoftext|>", "x <|endoftext|> <|endoftext|>y", "", "plain words"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import checkpointed, shared_dir  # noqa: F401  the operators take them from here
+
 #: A word is a run of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: A small table is broadcast only when it has been counted and has at most so many rows.
@@ -46,30 +47,26 @@ def utf8_crc32(text: Column) -> Column:
     return F.crc32(F.encode(text, "UTF-8"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    own = getattr(spark.sparkContext, "_fernweave_dir", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="fernweave-")
-        spark.sparkContext._fernweave_dir = own
-    return own
-
+class Workspace:
+    """A folder of one run in the shared one, with tables that are written once and read as plain Parquet, so that Spark knows
+    their sizes, and that outlive any executor."""
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Computed now and kept in the shared folder, so that a lost executor costs no lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self._names = spark, f"{shared_dir(spark).rstrip('/')}/fernweave-{name}-{uuid.uuid4().hex}", []
 
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        self._names.append(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what finished plans have left: their objects, and through Spark's cleaner their shuffle files, which
-    otherwise stay until it happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def drop(self, but: tuple[str, ...] = ()) -> None:
+        """Delete the tables, but for those that some frame is still to be read from."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = place(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in self._names if but else [""]:
+            if name not in but or not name:
+                files.delete(place(f"{self.path}/{name}".rstrip("/")), True)
+        self._names = [n for n in self._names if n in but]
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_groups: int, how: str = "left", salts: int = 32) -> DataFrame:

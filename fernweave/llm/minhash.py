@@ -6,28 +6,29 @@ each, darts fall along the rank axis as a Poisson process of rate one whose gaps
 For each of ``k`` coordinates a text keeps its dart of least rank.  Ranks are looked at up to t / weight, with t = k ln k +
 2 k darts expected whatever the text's length, and further for the few texts that leave a coordinate empty.
 
-Texts that share a band are compared with the band's pivot, its text that meets the most others, and links are verified on
-the texts.  Where several classes are left around a pivot, their texts are compared with a few further pivots.  What each
-text shares with the pivots bounds what any two of them can share, and only the pairs of different classes that no bound
-excludes are compared at last.
+Texts that share a band are of the group of the band's pivot, its text that meets the most others.  A group is dealt in blocks
+of bounded size, the pivot to each, and what the texts of a block have in common is counted at once, by their words; nothing is
+made for each pair.  Only in groups of several blocks can a link be missed so far: there, texts outside the largest class found
+are compared with those of other classes in other blocks, again block by block.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_skewed, release, text_or_empty, words
+from .common import Workspace, text_or_empty, words
 
 WIDTH = 5
 BANDS, ROWS = 30, 5
 SIMILARITY = 0.8
-#: Texts around a pivot that the others there are compared with besides, where several classes are left.
-MORE_PIVOTS = 8
+#: Texts and words of a block, about.
+BLOCK_TEXTS, BLOCK_WORDS = 256, 1 << 17
 #: Words that are signed at once in a task.
 SIGN_WORDS = 1 << 18
 
@@ -109,194 +110,215 @@ def _sign(batches: Iterator, bands: int, rows: int) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        ids, lists = batch.column("tid"), batch.column("w")
+        ids, lists = [batch.column(c) for c in ("doc_id", "tid", "tid2")], batch.column("w")
         lengths = np.diff(lists.offsets.to_numpy().astype(np.int64))
         hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         ends, low = np.cumsum(lengths), 0
-        while low < len(ids):
+        while low < len(lengths):
             before = int(ends[low - 1]) if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + SIGN_WORDS, side="right")))
             row, shingle = shingles(hashes[before : int(ends[high - 1])], lengths[low:high])
             signed = band_hashes(dart_signatures(*unit_cells(row, shingle), high - low, bands * rows), bands, rows)
-            values = pa.array(signed.reshape(-1).view(np.int64))
-            yield pa.record_batch([ids.slice(low, high - low), pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * bands), values)], names=["tid", "bands"])
+            values = pa.array(signed[lengths[low:high] > 0].reshape(-1).view(np.int64))
+            n = np.where(lengths[low:high] > 0, bands, 0)
+            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.record_batch([*(c.slice(low, high - low) for c in ids), pa.ListArray.from_arrays(pa.array(at), values)], names=["doc_id", "tid", "tid2", "bands"])
             low = high
 
 
+def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """The shingles of a few texts by the words themselves: row and cell number of each cell that two rows or more have, how many
+    such cells there are, and the number of shingles of each text.  The c-th time that a text has a shingle is cell c of it."""
+    split = [t.split() for t in texts]
+    lengths = np.array([len(w) for w in split], np.int64)
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)), 1)}
+    codes = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+    ends = np.cumsum(lengths)
+    n = np.where(lengths >= WIDTH, lengths - WIDTH + 1, (lengths > 0).astype(np.int64))
+    row = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends - lengths, n)
+    padded, most = np.concatenate([codes, np.zeros(WIDTH, np.int64)]), np.minimum(lengths, WIDTH)[row]
+    base, key, span = len(number) + 1, padded[at], len(number) + 1
+    for j in range(1, WIDTH):
+        if span >= (1 << 62) // base:
+            found, key = np.unique(key, return_inverse=True)
+            span = len(found)
+        key, span = key * base + np.where(j < most, padded[at + j], 0), span * base
+    key = np.unique(key, return_inverse=True)[1]
+    order = np.argsort(row * (int(key.max(initial=0)) + 1) + key, kind="stable")
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    nth = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    cell, count = np.unique(key * (int(nth.max(initial=0)) + 1) + nth, return_inverse=True, return_counts=True)[1:]
+    common = count[cell] > 1
+    return row[common], (np.cumsum(count > 1) - 1)[cell[common]], int((count > 1).sum()), n
+
+
+def overlaps(texts: list[bytes], first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that each of the ``first`` texts (by default of all) has in common with each text, and the number each text has."""
+    row, cell, n_cells, sizes = _coded(texts)
+    first = len(texts) if first is None else first
+    out = np.zeros((first, len(texts)), np.int64)
+    order = np.argsort(cell, kind="stable")
+    row, cell = row[order], cell[order]
+    for low in range(0, n_cells, 4096):  # so that a block's matrix stays small whatever its texts
+        a, b = np.searchsorted(cell, (low, low + 4096))
+        holds = np.zeros((len(texts), min(4096, n_cells - low)), np.float32)
+        holds[row[a:b], cell[a:b] - low] = 1
+        out += (holds[:first] @ holds.T).astype(np.int64)
+    return out, sizes
+
+
+def _alike(common: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    first = len(common)
+    return (common > 0) & (common >= least * (sizes[:first, None] + sizes[None, :] - common) - 1e-9)
+
+
+def _least_of_class(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n numbers, the least one that the links u - v connect it to."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def similarity(a: str, b: str) -> float:
+    """Weighted Jaccard index of the shingles; 0 where either text has none."""
+    common, sizes = overlaps([t.encode("utf-8", "surrogatepass") for t in (a, b)])
+    return int(common[0, 1]) / int(sizes.sum() - common[0, 1]) if common[0, 1] else 0.0
+
+
 def text_shingles(text: str | bytes) -> Counter:
-    """Shingles as tuples of words, for exact comparison."""
+    """Shingles as tuples of words."""
     w = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).split()
     return Counter(tuple(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))) if w else Counter()
 
 
-def overlap(a: str | bytes, b: str | bytes) -> tuple[int, int, int]:
-    """Shingles that two texts have in common, by the words themselves, and how many each has."""
-    x, y = ((t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t).split() for t in (a, b))
-    if not x or not y:
-        return 0, max(0, len(x) - WIDTH + 1) or int(bool(x)), max(0, len(y) - WIDTH + 1) or int(bool(y))
-    nx, ny = max(1, len(x) - WIDTH + 1), max(1, len(y) - WIDTH + 1)
-    number: dict[bytes, int] = {}
-    code = [np.fromiter((number.setdefault(w, len(number) + 1) for w in t), np.int64, len(t)) for t in (x, y)]
-    base = len(number) + 1
-    windows = []
-    for c in code:
-        c = np.concatenate([c, np.zeros(max(0, WIDTH - len(c)), np.int64)])
-        windows.append(np.lib.stride_tricks.sliding_window_view(c, WIDTH))
-    both = np.concatenate(windows)
-    if base**WIDTH < 2**62:
-        keys = both @ (base ** np.arange(WIDTH, dtype=np.int64))
-    else:
-        keys = both[:, 0]
-        for j in range(1, WIDTH):
-            keys = np.unique(keys * base + both[:, j], return_inverse=True)[1]
-    order = np.argsort(keys, kind="stable")
-    keys, side = keys[order], order >= nx
-    start = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
-    in_y = np.add.reduceat(side.astype(np.int64), start)
-    size = np.diff(np.concatenate([start, [len(keys)]]))
-    return int(np.minimum(in_y, size - in_y).sum()), nx, ny
-
-
-def similarity(a: str | bytes, b: str | bytes) -> float:
-    """Weighted Jaccard index of the shingles; 0 where either text has none."""
-    common, nx, ny = overlap(a, b)
-    return common / (nx + ny - common) if common else 0.0
-
-
-def _overlaps(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
+def _blocks(batches: Iterator, keys: list[str], values: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Key and rows of each block, from batches that are sorted by the keys."""
+    key, rows = None, []
     for batch in batches:
-        found = np.array([overlap(a.as_py(), b.as_py()) for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True)], np.int64).reshape(-1, 3)
-        yield pa.record_batch([batch.column("a"), batch.column("b"), *(pa.array(found[:, i]) for i in range(3))], names=["a", "b", "common", "size_a", "size_b"])
-
-
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, salt) with the shingles in common and both sizes.
-
-    A text b that many are compared with is sent once for each of its salts, so no task gets all its partners."""
-    left = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
-    right = pairs.select("b", "salt").distinct().join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-    return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, common long, size_a long, size_b long")
+        columns = [batch.column(k).to_pylist() for k in keys]
+        held = [batch.column(v).cast("binary" if v == "text" else "int64").to_pylist() for v in values]
+        for now, row in zip(zip(*columns, strict=True), zip(*held, strict=True), strict=True):
+            if now != key:
+                if rows:
+                    yield key, rows
+                key, rows = now, []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _sent(rows: Iterator[tuple], names: list[str]) -> Iterator:
+    import pyarrow as pa
 
+    while some := list(islice(rows, 10_000)):
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=names)
 
-def _links(compared: DataFrame, least: float) -> DataFrame:
-    return compared.where(F.col("common") >= least * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9).select("a", "b")
 
+def _linked(batches: Iterator, least: float) -> Iterator:
+    """Links of each text in a block to the least of those that it is connected to; where its group has several blocks, also what
+    each text (``a``) has in common with the pivot (``p``)."""
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(tid, label) for each end of an edge (a, b): the least tid of its connected component.
+    def rows() -> Iterator[tuple]:
+        for (p, _, n_blocks), block in _blocks(batches, ["p", "block", "n_blocks"], ["tid", "text"]):
+            block.sort()
+            ids = [i for i, _ in block]
+            common, sizes = overlaps([t for _, t in block])
+            label = _least_of_class(len(ids), *np.nonzero(np.triu(_alike(common, sizes, least), 1)))
+            yield from ((ids[i], ids[k], None, None, None) for i, k in enumerate(label.tolist()) if i != k)
+            if n_blocks > 1:
+                yield from ((i, None, p, c, s) for i, c, s in zip(ids, common[ids.index(p)].tolist(), sizes.tolist(), strict=True))
 
-    Labels are passed to neighbours and then followed one step further, until none changes; every round is checkpointed.
-    """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "tid"))
-    for _ in range(max_rounds):
-        seen = both.join(labels, both["b"] == labels["tid"]).groupBy("a").agg(F.min("label").alias("near"))
-        passed = labels.join(seen, labels["tid"] == seen["a"]).select("tid", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        further = labels.select(F.col("tid").alias("mid"), F.col("label").alias("next"))
-        new = checkpointed(passed.join(further, "mid").select("tid", F.least("mid", "next").alias("label"), (F.least("mid", "next") < F.col("old")).alias("changed")))
-        labels = new.select("tid", "label")
-        if not new.where("changed").head(1):
-            return labels
-    raise RuntimeError("labels still change")
-
-
-def _band_members(signed: DataFrame) -> DataFrame:
-    """(band, tid, n, pivot) for each band that several texts share.
-
-    A band's pivot is its text that meets the most others over all its bands: most often the one that the rest was made from.
-    """
-    every = checkpointed(signed.select("tid", F.explode("bands").alias("band")).distinct())
-    shared = checkpointed(every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    members = checkpointed(join_skewed(every, shared.withColumn("members", F.col("n")), ["band"], "members"))
-    met = members.groupBy("tid").agg(F.sum("n").alias("met"))
-    pivots = members.join(met, "tid").groupBy("band").agg(F.max(F.struct("met", "tid")).alias("top"), F.count("*").alias("members"))
-    pivots = checkpointed(pivots.select("band", "members", F.col("top.tid").alias("pivot")))
-    return checkpointed(join_skewed(members, pivots, ["band"], "members"))
+    return _sent(rows(), ["a", "b", "p", "common", "size"])
 
 
-def _salted(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, n) once each, with a salt that deals the partners of b over about n / 64 cells."""
-    return pairs.groupBy("a", "b").agg(F.max("n").alias("n")).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 64))).drop("n")
+def _linked_classes(batches: Iterator, least: float) -> Iterator:
+    """Links between the classes of similar texts in a block, where one text at least is of the block's minor part."""
 
+    def rows() -> Iterator[tuple]:
+        for (_, _, part), block in _blocks(batches, ["p", "block", "part"], ["minor", "class", "text"]):
+            block.sort(key=lambda r: -r[0])
+            first = sum(r[0] for r in block)
+            if not first:
+                continue
+            classes, of = np.unique(np.array([r[1] for r in block], np.int64), return_inverse=True)
+            alike = _alike(*overlaps([r[2] for r in block], first), least) & (of[:first, None] != of[None, :])
+            if part:
+                alike[:, :first] = False  # compared in part 0
+            u, v = np.nonzero(alike)
+            label = _least_of_class(len(classes), of[u], of[v])
+            yield from ((int(classes[i]), int(classes[k])) for i, k in enumerate(label.tolist()) if i != k)
 
-def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between different classes, as pairs of their labels; a text without a label is its own class."""
-    out = links
-    for end in "ab":
-        of = labels.withColumnsRenamed({"tid": end, "label": f"{end}_label"})
-        out = out.join(of, end, "left").withColumn(end, F.coalesce(f"{end}_label", end)).drop(f"{end}_label")
-    return checkpointed(out.where("a <> b").distinct())
+    return _sent(rows(), ["a", "b"])
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, texts: DataFrame, compared: DataFrame, least: float) -> DataFrame:
-    """(p, tid, size, shared, n, c0) for the texts around each pivot p that could still be similar to one that they weren't compared with.
+def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """(tid, label) for each end of an edge (a, b): the least tid of its connected component.
 
-    c0: what a text has in common with p; shared: what some other of these texts has too.  Similarity s needs
-    s / (1 + s) times both sizes in common, so texts with too little of both, given the least size around, drop out exactly.
+    Each text is put on its least neighbour, and the links between what is left are looked at again, until there are none.  The
+    largest text of a component goes each time, and with ids that are hashes a good part of all, so rounds are few.
+    """
+    rest, labels, at = space.table(edges.distinct(), f"{name}-links-0"), None, 0
+    while not rest.isEmpty():
+        both = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        put = space.table(both.groupBy(F.col("a").alias("tid")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{name}-put-{at}")
+        for end in "ab":
+            of = put.select(F.col("tid").alias(end), F.col("label").alias(f"{end}_on"))
+            rest = rest.join(of, end)
+        rest = space.table(rest.where("a_on <> b_on").select(F.col("a_on").alias("a"), F.col("b_on").alias("b")).distinct(), f"{name}-links-{at + 1}")
+        if labels is None:
+            labels = put
+        else:
+            on = put.select(F.col("tid").alias("label"), F.col("label").alias("to"))
+            labels = space.table(labels.join(on, "label", "left").select("tid", F.coalesce("to", "label").alias("label")), f"{name}-labels-{at}")
+        at += 1
+    return labels if labels is not None else rest.select(F.col("a").alias("tid"), F.col("b").alias("label"))
+
+
+def _dealt(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with their texts, each block of equal ``keys`` side by side in one partition."""
+    return rows.join(texts.select("tid", "text"), "tid").repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _second_look(met: DataFrame, labels: DataFrame, texts: DataFrame, space: Workspace, least: float) -> DataFrame:
+    """Links between classes that lie in different blocks of a group, where each text was compared with its block and the pivot.
+
+    Per group, the texts outside its largest class are compared with all texts of other classes, block by block, but for those
+    that are too large, too small or too near to the pivot to be similar to any of them: 1 - similarity is a metric.
     """
-    placed = members.where("n > 2").groupBy(F.col("pivot").alias("p"), "tid").agg(F.max("n").alias("n")).join(labels, "tid", "left").withColumn("class", F.coalesce("label", "tid")).drop("label")
-    placed = checkpointed(placed)
-    several = placed.groupBy("p").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("p", "members")
-    held = checkpointed(join_skewed(placed, checkpointed(several), ["p"], "members"))
-
-    def cells(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            lists = batch.column("w")
-            row, key = unit_cells(*shingles(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(lists.offsets.to_numpy().astype(np.int64))))
-            yield pa.record_batch([batch.column("tid").take(pa.array(row)), pa.array(key.view(np.int64))], names=["tid", "cell"])
-
-    hashed = texts.join(held.select("tid").distinct(), "tid").select("tid", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
-    parts = checkpointed(hashed.mapInArrow(cells, "tid long, cell long"))
-    common = checkpointed(parts.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1"))
-    shared = join_skewed(parts, common, ["cell"], "members").groupBy("tid").agg(F.count("*").alias("shared"))
-    sizes = checkpointed(parts.groupBy("tid").agg(F.count("*").alias("size")).join(shared, "tid"))  # a text that shares nothing drops out
-    near = compared.select(F.col("a").alias("tid"), F.col("b").alias("p"), F.col("common").alias("c0"))
-    sized = held.join(sizes, "tid").join(near, ["p", "tid"], "left").withColumn("c0", F.coalesce("c0", "size"))  # the pivot itself has all
-    sized = checkpointed(sized)
-    least_sizes = checkpointed(sized.groupBy("p").agg(F.min("size").alias("least"), F.count("*").alias("members")))
-    bound = least / (1 + least) * (F.col("size") + F.greatest(F.col("size") * least, F.col("least"))) - 1e-6
-    able = join_skewed(sized, least_sizes, ["p"], "members").where(F.col("shared") >= bound)
-    return checkpointed(able.select("p", "tid", "size", "shared", "n", "c0"))
-
-
-def _more_pivots(able: DataFrame, labels: DataFrame) -> DataFrame:
-    """(p, slot, q): further pivots around p, of those outside its class the one nearest to p in each slot of a hash."""
-    other = able.join(labels, "tid", "left").withColumn("class", F.coalesce("label", "tid")).drop("label")
-    own = labels.select(F.col("tid").alias("p"), F.col("label").alias("main"))
-    apart = other.join(own, "p", "left").where(F.col("class") != F.coalesce("main", "p"))
-    slot = F.pmod(F.xxhash64("tid", "p"), F.lit(MORE_PIVOTS)).cast("int")
-    return apart.groupBy("p", slot.alias("slot")).agg(F.max_by("tid", F.struct(F.col("c0") / F.col("size"), "tid")).alias("q"))
-
-
-def _remaining_pairs(able: DataFrame, labels: DataFrame, pivots: DataFrame, compared: DataFrame, least: float) -> DataFrame:
-    """Pairs around a pivot that are of different classes, weren't compared, and may be similar enough by every pivot's bound:
-    of what two texts share, no more lies in a pivot than what either has in common with it, and no more beside it than the
-    lesser of what each has there."""
-    slots = range(MORE_PIVOTS)
-    met = pivots.join(compared.select(F.col("a").alias("tid"), F.col("b").alias("q"), F.col("common").alias("c")), "q")
-    wide = met.groupBy("p", "tid").agg(*(F.max(F.when(F.col("slot") == k, F.col("c"))).alias(f"c{k + 1}") for k in slots))
-    known = able.join(wide, ["p", "tid"], "left").join(labels, "tid", "left").withColumn("class", F.coalesce("label", "tid")).drop("label")
-    known = checkpointed(known)
-    counts = known.groupBy("p", "class").agg(F.count("*").alias("c"))
-    main = checkpointed(counts.groupBy("p").agg(F.max(F.struct("c", "class")).alias("top"), F.sum("c").alias("members")).select("p", "members", F.col("top.class").alias("main")))
-    marked = checkpointed(join_skewed(known, main.withColumn("around", F.col("members")), ["p"], "members"))
-
-    cells = F.ceil(F.col("around") / 2048)  # a large group's minor texts are dealt over so many tasks, the others go to each
-    columns = ["tid", "class", "size", "shared", *(f"c{k}" for k in range(MORE_PIVOTS + 1))]
-    minor = marked.where("class <> main").select("p", F.pmod(F.xxhash64("tid"), cells).alias("cell"), *(F.col(c).alias(f"{c}_a") for c in columns))
-    other = marked.select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)).alias("cell"), "n", (F.col("class") == F.col("main")).alias("is_main"), *(F.col(c).alias(f"{c}_b") for c in columns))
-    need = least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    may = F.expr("class_a <> class_b and tid_a <> p and tid_b <> p and (is_main or tid_a < tid_b)")
-    may = may & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6)
-    for k in range(MORE_PIVOTS + 1):
-        inside = F.least(f"c{k}_a", f"c{k}_b")
-        beside = F.least(*(F.greatest(F.col(f"shared_{s}") - F.col(f"c{k}_{s}"), F.lit(0)) for s in "ab"))
-        may = may & F.coalesce(inside + beside >= need, F.lit(True))
-    return _salted(minor.join(other, ["p", "cell"]).where(may).select(F.col("tid_a").alias("a"), F.col("tid_b").alias("b"), "n"))
+    once = met.groupBy("p", F.col("a").alias("tid")).agg(F.max("common").alias("common"), F.max("size").alias("size"))
+    of = space.table(once.join(labels, "tid", "left").select("p", "tid", F.coalesce("label", "tid").alias("class"), "common", "size"), "classes-met")
+    counts = of.groupBy("p", "class").agg(F.count("*").alias("n"), F.max(F.when(F.col("tid") == F.col("p"), F.col("size"))).alias("size"))
+    main = counts.groupBy("p").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("texts"), F.max("size").alias("pivot_size"))
+    main = main.where("classes > 1").select("p", F.col("top.class").alias("main"), "texts", "pivot_size")
+    far = 1 - F.col("common") / (F.col("size") + F.col("pivot_size") - F.col("common"))
+    marked = space.table(of.join(main, "p").select("p", "tid", "class", "size", "texts", far.alias("far"), (F.col("class") != F.col("main")).cast("int").alias("minor")), "marked")
+    minors = marked.where("minor = 1").groupBy("p").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("far").alias("nearest"), F.min("size").alias("least"), F.max("size").alias("most"))
+    minors = minors.withColumn("blocks", _n_blocks(F.col("n"), F.col("words"))).drop("n", "words")
+    able = (F.col("far") >= F.col("nearest") - (1 - least) - 1e-9) & (F.col("size") >= least * F.col("least") - 1e-6) & (F.col("size") * least <= F.col("most") + 1e-6)
+    kept = marked.join(minors, "p").where((F.col("minor") == 1) | able)
+    # the other texts of a group are dealt in parts; a block of minor ones goes to each part
+    parts = kept.groupBy("p").agg(_n_blocks(F.count("*"), F.sum("size")).alias("parts"))
+    both = space.table(kept.join(parts, "p").select("p", "tid", "class", "minor", "blocks", "parts"), "to-compare")
+    own, part = F.pmod(F.xxhash64("tid"), F.col("blocks")), F.pmod(F.xxhash64("tid", F.lit(1)), F.col("parts"))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    first = both.where("minor = 1").select("p", "tid", "class", "minor", own.alias("block"), F.explode(upto(F.col("parts"))).alias("part"))
+    below = F.when(F.col("minor") == 0, upto(F.col("blocks"))).otherwise(F.filter(upto(F.col("blocks")), lambda i: i < own))
+    second = both.select("p", "tid", "class", F.lit(0).alias("minor"), F.explode(below).alias("block"), part.alias("part"))
+    dealt = _dealt(first.unionByName(second), texts, ["p", "block", "part"])
+    return space.table(dealt.mapInArrow(lambda it: _linked_classes(it, least), "a long, b long").distinct(), "links-between")
+
+
+def _n_blocks(n: Column, n_words: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK_TEXTS, n_words / BLOCK_WORDS, F.lit(1)))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -307,41 +329,47 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     and one text.  Null texts count as empty; texts without words are alike only if equal.  A text of fewer than five words is
     one shingle.  Repeated rows are judged alike.  Texts of at least that similarity share a band with a probability of
     1 - 7e-6 or more, and texts are told apart by 128 bits of hash, their pairs by 64.  An empty table gives no rows.
+    Columns besides doc_id and text, whatever their names, are not read.
     """
-    text = text_or_empty()
+    space, text = Workspace(docs.sparkSession, "minhash"), text_or_empty()
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    key = {"tid": F.xxhash64("text"), "tid2": F.xxhash64(F.lit(1), "text")}
-    narrow = checkpointed(plain.select("doc_id", *(v.alias(k) for k, v in key.items())))
-    distinct = checkpointed(narrow.groupBy("tid", "tid2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-
-    hashed = plain.select(key["tid"].alias("tid"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 0)
-    members = _band_members(hashed.mapInArrow(lambda it: _sign(it, bands, rows), "tid long, bands array<long>"))
-    pairs = checkpointed(_salted(members.where("tid <> pivot").select(F.col("tid").alias("a"), F.col("pivot").alias("b"), "n")))
-    wanted = members.select("tid").distinct().join(distinct.groupBy("tid").agg(F.min(F.coalesce("first", F.lit(-(1 << 63)))).alias("first")), "tid")
-    found = plain.select(key["tid"].alias("tid"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first"), "text").join(wanted, ["tid", "first"])
-    texts = checkpointed(found.dropDuplicates(["tid"]).select("tid", "text"))
-    compared = checkpointed(_compared(pairs, texts))
-    release(docs.sparkSession)
-    links = _links(compared, least)
-    labels = components(links)
-    able = _unsettled(members, labels, texts, compared, least)
-    if able.head(1):
-        pivots = checkpointed(_more_pivots(able, labels))
-        wanted = able.join(pivots, "p").where("tid <> q and tid <> p").select(F.col("tid").alias("a"), F.col("q").alias("b"), "n")
-        again = checkpointed(_compared(_salted(wanted), texts))
-        rest = checkpointed(_remaining_pairs(able, labels, pivots, again, least))
-        more = _between(_links(again, least).unionByName(_links(_compared(rest, texts), least)), labels)
-        if more.head(1):
-            joined = components(more).select(F.col("tid").alias("label"), F.col("label").alias("to"))
-            every = labels.unionByName(joined.select(F.col("label").alias("tid"), "label").join(labels.select("tid"), "tid", "left_anti"))
-            labels = checkpointed(every.join(joined, "label", "left").select("tid", F.coalesce("to", "label").alias("label")))
-
-    release(docs.sparkSession)
-    linked = distinct.join(labels, "tid")
-    classes = checkpointed(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("first").isNull(), "first", "tid", "tid2")).alias("one"), F.count("*").alias("texts")))
-    joined = join_skewed(linked, classes, ["label"], "texts").select("tid", "tid2", "copies", "class_id", "class_size", ((F.col("tid") == F.col("one.tid")) & (F.col("tid2") == F.col("one.tid2"))).alias("main"))
-    alone = distinct.join(labels, "tid", "left_anti").select("tid", "tid2", "copies", F.col("first").alias("class_id"), F.col("copies").alias("class_size"), F.lit(True).alias("main"))
-    classed = checkpointed(joined.unionByName(alone))
-    out = join_skewed(narrow, classed, ["tid", "tid2"], "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return out.select("doc_id", F.col("tid").alias("text_key"), "class_id", "class_size", (F.col("main") & same).alias("representative"))
+    key = [F.xxhash64("text").alias("tid"), F.xxhash64(F.lit(1), "text").alias("tid2")]
+    hashed = plain.select("doc_id", *key, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    signed = space.table(hashed.mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, tid long, tid2 long, bands array<long>"), "signed")
+    distinct = space.table(signed.groupBy("tid", "tid2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "distinct")
+
+    every = distinct.select("tid", F.explode("bands").alias("band"))
+    members = space.table(every.join(every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "members")
+    met = members.groupBy("tid").agg(F.sum("n").alias("met"))  # a band's pivot is its text that meets the most others
+    pivots = members.join(met, "tid").groupBy("band").agg(F.max(F.struct("met", "tid")).alias("top"))
+    placed = space.table(members.join(pivots, "band").select(F.col("top.tid").alias("p"), "tid").distinct(), "placed")
+
+    least_id = F.lit(-(1 << 63))
+    wanted = distinct.join(placed.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.min(F.coalesce("first", least_id)).alias("first"))
+    found = plain.select(key[0], F.coalesce("doc_id", least_id).alias("first"), "text").join(wanted, ["tid", "first"]).dropDuplicates(["tid"])
+    texts = space.table(found.select("tid", "text", F.size(words(F.col("text"))).alias("n_words")), "texts")
+
+    groups = placed.join(texts.select("tid", "n_words"), "tid").groupBy("p").agg(_n_blocks(F.count("*"), F.sum("n_words")).alias("n_blocks"))
+    own = F.array(F.pmod(F.xxhash64("tid"), F.col("n_blocks")))
+    block = F.when(F.col("tid") == F.col("p"), F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).otherwise(own)
+    dealt = _dealt(placed.join(groups, "p").select("p", "tid", "n_blocks", F.explode(block).alias("block")), texts, ["p", "block"])
+    compared = space.table(dealt.mapInArrow(lambda it: _linked(it, least), "a long, b long, p long, common long, size long"), "compared")
+    labels = components(compared.where("p is null").select("a", "b"), space, "texts")
+    met = compared.where("p is not null").select("a", "p", "common", "size")
+    if not met.isEmpty():
+        joined = components(_second_look(met, labels, texts, space, least), space, "classes").select(F.col("tid").alias("label"), F.col("label").alias("to"))
+        every = labels.unionByName(joined.select(F.col("label").alias("tid"), "label").join(labels.select("tid"), "tid", "left_anti"))
+        labels = every.join(joined, "label", "left").select("tid", F.coalesce("to", "label").alias("label"))
+
+    of = distinct.drop("bands").join(labels, "tid", "left").withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "tid"))
+    of = space.table(of, "labelled")
+    one = F.min(F.struct(F.col("first").isNull(), "first", "tid", "tid2")).alias("one")
+    classes = of.where("not alone").groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), one)
+    main = (F.col("tid") == F.col("one.tid")) & (F.col("tid2") == F.col("one.tid2"))
+    own = lambda name, alone: F.when(F.col("alone"), alone).otherwise(F.col(name)).alias(name)
+    classed = of.join(classes, "label", "left").select("tid", "tid2", own("class_id", F.col("first")), own("class_size", F.col("copies")), (F.col("alone") | main).alias("main"))
+    classed = space.table(classed, "classed")
+    space.drop(but=("signed", "classed"))  # which the result reads
+    out = signed.drop("bands").join(classed, ["tid", "tid2"])
+    representative = F.col("main") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return out.select("doc_id", F.col("tid").alias("text_key"), "class_id", "class_size", representative.alias("representative"))

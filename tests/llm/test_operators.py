@@ -10,12 +10,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fernweave.llm import minhash
 from fernweave.llm import queries as Q
 from fernweave.llm.common import tokenizer_path
 from fernweave.llm.licenses import parse_expression, scan_licenses
 from fernweave.llm.line_dedup import chunks, dedup_lines
 from fernweave.llm.media import media_features, read_pictures, write_payloads
-from fernweave.llm.minhash import near_duplicates, overlap, similarity, text_shingles
+from fernweave.llm.minhash import near_duplicates, overlaps, similarity, text_shingles
 from fernweave.llm.mixing import mix_documents, mixed_texts, seats, source_targets
 from fernweave.llm.outliers import reject_outliers
 from fernweave.llm.pfor import File, pack, token_ids, unpack, write_file
@@ -102,7 +103,9 @@ def test_line_dedup(spark):
     assert all(c.n_lines > 1 for i in cut for c in cut[i])
 
 
-def test_near_duplicates(spark, rows):
+@pytest.mark.parametrize("block_texts", [256, 12])
+def test_near_duplicates(spark, rows, monkeypatch, block_texts):
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", block_texts)  # with few texts to a block, groups have many
     text = collections.defaultdict(list)
     for r in rows:
         text[r.text or ""].append(r.doc_id)
@@ -151,7 +154,8 @@ def test_overlap():
         a, b = (" ".join(rng.choice("abcd") for _ in range(rng.randrange(25))) for _ in range(2))
         x, y = text_shingles(a), text_shingles(b)
         common = sum((x & y).values())
-        assert overlap(a, b) == (common, sum(x.values()), sum(y.values()))
+        got, sizes = overlaps([a.encode(), b.encode()])
+        assert (got[0, 1], *sizes) == (common, sum(x.values()), sum(y.values()))
         assert similarity(a, b) == (common / (sum(x.values()) + sum(y.values()) - common) if common else 0)
 
 

@@ -297,16 +297,17 @@ def _second_look(met: DataFrame, labels: DataFrame, texts: DataFrame, space: Wor
     once = met.groupBy("p", F.col("a").alias("tid")).agg(F.max("common").alias("common"), F.max("size").alias("size"))
     of = space.table(once.join(labels, "tid", "left").select("p", "tid", F.coalesce("label", "tid").alias("class"), "common", "size"), "classes-met")
     counts = of.groupBy("p", "class").agg(F.count("*").alias("n"), F.max(F.when(F.col("tid") == F.col("p"), F.col("size"))).alias("size"))
-    main = counts.groupBy("p").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("texts"), F.max("size").alias("pivot_size"))
-    main = main.where("classes > 1").select("p", F.col("top.class").alias("main"), "texts", "pivot_size")
+    main = counts.groupBy("p").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"), F.max("size").alias("pivot_size"))
+    main = space.table(main.where("classes > 1").select("p", F.col("top.class").alias("main"), "pivot_size"), "main")
     far = 1 - F.col("common") / (F.col("size") + F.col("pivot_size") - F.col("common"))
-    marked = space.table(of.join(main, "p").select("p", "tid", "class", "size", "texts", far.alias("far"), (F.col("class") != F.col("main")).cast("int").alias("minor")), "marked")
+    marked = space.table(of.join(main, "p").select("p", "tid", "class", "size", far.alias("far"), (F.col("class") != F.col("main")).cast("int").alias("minor")), "marked")
     minors = marked.where("minor = 1").groupBy("p").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("far").alias("nearest"), F.min("size").alias("least"), F.max("size").alias("most"))
-    minors = minors.withColumn("blocks", _n_blocks(F.col("n"), F.col("words"))).drop("n", "words")
+    minors = space.table(minors.withColumn("blocks", _n_blocks(F.col("n"), F.col("words"))).drop("n", "words"), "minors")
     able = (F.col("far") >= F.col("nearest") - (1 - least) - 1e-9) & (F.col("size") >= least * F.col("least") - 1e-6) & (F.col("size") * least <= F.col("most") + 1e-6)
     kept = marked.join(minors, "p").where((F.col("minor") == 1) | able)
     # the other texts of a group are dealt in parts; a block of minor ones goes to each part
-    parts = kept.groupBy("p").agg(_n_blocks(F.count("*"), F.sum("size")).alias("parts"))
+    kept = space.table(kept, "kept")
+    parts = space.table(kept.groupBy("p").agg(_n_blocks(F.count("*"), F.sum("size")).alias("parts")), "parts")
     both = space.table(kept.join(parts, "p").select("p", "tid", "class", "minor", "blocks", "parts"), "to-compare")
     own, part = F.pmod(F.xxhash64("tid"), F.col("blocks")), F.pmod(F.xxhash64("tid", F.lit(1)), F.col("parts"))
     upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
@@ -331,6 +332,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     1 - 7e-6 or more, and texts are told apart by 128 bits of hash, their pairs by 64.  An empty table gives no rows.
     Columns besides doc_id and text, whatever their names, are not read.
     """
+    # Figures of a group are written before they are joined to its rows, so that Spark can split the rows of a hot key.
     space, text = Workspace(docs.sparkSession, "minhash"), text_or_empty()
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     key = [F.xxhash64("text").alias("tid"), F.xxhash64(F.lit(1), "text").alias("tid2")]
@@ -339,9 +341,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     distinct = space.table(signed.groupBy("tid", "tid2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "distinct")
 
     every = distinct.select("tid", F.explode("bands").alias("band"))
-    members = space.table(every.join(every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "members")
+    shared = space.table(every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = space.table(every.join(shared, "band"), "members")
     met = members.groupBy("tid").agg(F.sum("n").alias("met"))  # a band's pivot is its text that meets the most others
-    pivots = members.join(met, "tid").groupBy("band").agg(F.max(F.struct("met", "tid")).alias("top"))
+    pivots = space.table(members.join(met, "tid").groupBy("band").agg(F.max(F.struct("met", "tid")).alias("top")), "pivots")
     placed = space.table(members.join(pivots, "band").select(F.col("top.tid").alias("p"), "tid").distinct(), "placed")
 
     least_id = F.lit(-(1 << 63))
@@ -350,6 +353,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     texts = space.table(found.select("tid", "text", F.size(words(F.col("text"))).alias("n_words")), "texts")
 
     groups = placed.join(texts.select("tid", "n_words"), "tid").groupBy("p").agg(_n_blocks(F.count("*"), F.sum("n_words")).alias("n_blocks"))
+    groups = space.table(groups, "groups")
     own = F.array(F.pmod(F.xxhash64("tid"), F.col("n_blocks")))
     block = F.when(F.col("tid") == F.col("p"), F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).otherwise(own)
     dealt = _dealt(placed.join(groups, "p").select("p", "tid", "n_blocks", F.explode(block).alias("block")), texts, ["p", "block"])
@@ -364,7 +368,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     of = distinct.drop("bands").join(labels, "tid", "left").withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "tid"))
     of = space.table(of, "labelled")
     one = F.min(F.struct(F.col("first").isNull(), "first", "tid", "tid2")).alias("one")
-    classes = of.where("not alone").groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), one)
+    classes = space.table(of.where("not alone").groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), one), "classes")
     main = (F.col("tid") == F.col("one.tid")) & (F.col("tid2") == F.col("one.tid2"))
     own = lambda name, alone: F.when(F.col("alone"), alone).otherwise(F.col(name)).alias(name)
     classed = of.join(classes, "label", "left").select("tid", "tid2", own("class_id", F.col("first")), own("class_size", F.col("copies")), (F.col("alone") | main).alias("main"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,14 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or what it becomes with underscores before it until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -51,8 +62,23 @@ class Workspace:
     """A folder of one run in the shared one, with tables that are written once and read as plain Parquet, so that Spark knows
     their sizes, and that outlive any executor."""
 
+    made: ClassVar[list[list[Workspace]]] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path, self._names = spark, f"{shared_dir(spark).rstrip('/')}/fernweave-{name}-{uuid.uuid4().hex}", []
+        for some in self.made:
+            some.append(self)
+
+    @classmethod
+    @contextmanager
+    def cleared(cls) -> Iterator[None]:
+        """What operators write within the block is deleted at its end: their results must have been written by then."""
+        cls.made.append([])
+        try:
+            yield
+        finally:
+            for space in cls.made.pop():
+                space.drop()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
@@ -69,18 +95,19 @@ class Workspace:
         self._names = [n for n in self._names if n in but]
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_groups: int, how: str = "left", salts: int = 32) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_groups: int, how: str = "left", salts: int = 32, salt_by: list[str] | None = None) -> DataFrame:
     """Give each row what a table with one row for each key says of its key; keys may be null.
 
     ``n_groups`` is the counted size of ``groups``: up to BROADCAST_ROWS rows it is broadcast.  Beyond that both sides are
-    shuffled on the key and a salt, so that a key with a third of all rows is dealt over ``salts`` tasks.
+    shuffled on the key and a salt from ``salt_by`` (by default all columns), so that a key with a third of all rows is dealt
+    over ``salts`` tasks.
     """
     inner = groups.withColumnsRenamed({k: f"__{k}" for k in keys})
     same = [rows[k].eqNullSafe(inner[f"__{k}"]) for k in keys]
     if n_groups <= BROADCAST_ROWS:
         out = rows.join(F.broadcast(inner), same, how)
         return out.drop(*(f"__{k}" for k in keys))
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(*(salt_by or rows.columns)), F.lit(salts)))
     right = inner.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     same = [left[k].eqNullSafe(right[f"__{k}"]) for k in keys] + [left["__salt"] == right["__other"]]
     return left.join(right, same, how).drop("__salt", "__other", *(f"__{k}" for k in keys))

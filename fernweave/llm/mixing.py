@@ -2,8 +2,8 @@
 
 The words of a source, its documents in a seeded order, form one stream that is cut into blocks of ``block_words``.  The
 blocks of the mix are apportioned to sources by highest quotients ``target / (2 * seats + 1)``; the method is house
-monotone, so the first seats of the sequence are the quota of the first output shard, and so on.  A source that gets
-``q`` blocks and has ``n`` takes each block ``q // n`` times and a seeded run of ``q % n`` blocks once more.
+monotone, so the first seats of the sequence are the quota of the first output shard, and so on.  The blocks of a source stand
+in a ring; from a seeded place on, each output shard takes as many as its quota says and the next goes on behind it.
 """
 
 from __future__ import annotations
@@ -15,14 +15,11 @@ from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD_GAP, checkpointed, join_groups, let, text_or_empty, words
+from .common import Workspace, join_groups, let, text_or_empty, words
 
 #: Per-source figures come to the driver; a mix has no more sources than this.
 MAX_SOURCES = 100_000
-#: Rows of a source in one task while positions are summed up.
-ROWS_PER_BUCKET = 4096
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3), cap: float = 3) -> dict[str | None, float]:
@@ -67,7 +64,8 @@ def seats(targets: dict[str | None, float], house: int, most: dict[str | None, i
 
 @dataclass(frozen=True)
 class MixPlan:
-    """``quotas[k][source]``: blocks of the source in output shard k; ``rows``: one row for each source."""
+    """``quotas[k][source]``: blocks of the source in output shard k.  ``rows``: for each source its size and target, and ``runs``
+    (shard, low, high): the stretches of its stream, in words, that the shards take, one after another."""
 
     rows: DataFrame
     n_sources: int
@@ -75,6 +73,19 @@ class MixPlan:
     quotas: list[dict[str | None, int]] = field(default_factory=list)
 
 
+def shard_runs(quotas: list[int], n_blocks: int, start: int, block_words: int, size: int) -> list[tuple[int, int, int]]:
+    """(shard, low, high) in words: what each shard's blocks are in a ring of ``n_blocks``, the last of which may be short."""
+    out, at = [], start
+    for shard, quota in enumerate(quotas):
+        end = at + quota
+        while at < end:
+            upto = min(end, (at // n_blocks + 1) * n_blocks)  # a run ends where the ring does
+            low = at % n_blocks
+            out.append((shard, low * block_words, min(size, (low + upto - at) * block_words)))
+            at = upto
+    return out
+
+
 def plan_mix(sized: DataFrame, block_words: int, weights: tuple[int, ...], cap: int, seed: int, n_shards: int) -> MixPlan:
     """Quotas from a table with ``source`` and ``size``."""
     found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -88,76 +99,67 @@ def plan_mix(sized: DataFrame, block_words: int, weights: tuple[int, ...], cap:
     upto = [seats(targets, house * k // n_shards, most) for k in range(n_shards + 1)]
     quotas = [{s: b[s] - a[s] for s in targets} for a, b in zip(upto, upto[1:], strict=False)]
     rows = []
-    for s, q in upto[-1].items():
-        n = blocks[s]
+    for s, n in blocks.items():
         start = int.from_bytes(sha256(f"{seed}:{s is None}:{s}".encode("utf-8", "surrogatepass")).digest()[:8]) % n if n else 0
-        rows.append((s, sizes[s], float(targets[s]), q // n if n else 0, start, q % n if n else 0, n))
-    schema = T.StructType([T.StructField("source", T.StringType())] + [T.StructField(k, T.DoubleType() if k == "target" else T.LongType()) for k in ("source_size", "target", "base", "start", "extra", "n_blocks")])
+        rows.append((s, sizes[s], float(targets[s]), shard_runs([q[s] for q in quotas], n, start, block_words, sizes[s])))
+    schema = "source string, source_size long, target double, runs array<struct<shard:int,low:long,high:long>>"
     return MixPlan(sized.sparkSession.createDataFrame(rows, schema), len(rows), targets, quotas)
 
 
-def _within(at: Column, low: Column, high: Column) -> Column:
-    """Words below stream position ``at`` that lie in [low, high)."""
-    return F.greatest(F.lit(0).cast("bigint"), F.least(at, high) - low)
-
-
-def mix_documents(docs: DataFrame, block_words: int = 32, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, n_shards: int = 8) -> DataFrame:
-    """Per document: doc_id, text_key, size, source_size, target, taken, base (whole copies), and from/to of the at most
-    two runs of its words that the mix takes once more.
+def _taken(docs: DataFrame, block_words: int = 32, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, n_shards: int = 8) -> DataFrame:
+    """For each row of ``docs``: the row itself as ``row``, text_key, size, source_size, target and ``takes`` (shard, low, high): the
+    stretches of its words that the output shards take."""
+    space, text, others = Workspace(docs.sparkSession, "mix"), text_or_empty(), [c for c in docs.columns if c != "text"]
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_key"), F.size(words(text)).cast("bigint").alias("size"))
+    sized = sized.withColumn("at", F.xxhash64(F.lit(seed), "text_key", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(-1))))
+    narrow = space.table(sized.select("source", "at", "size"), "sizes")
+    plan = plan_mix(narrow, block_words, weights, cap, seed, n_shards)
 
-    Size: words of the text, none for null.  The seeded order is by hash of text and doc_id, so reruns and other
-    partitionings agree; rows alike in both are interchangeable.  Null sources form one source, the last.  Documents
-    without words take nothing.  An empty table gives no rows.  Only doc_id, source and text of ``docs`` are read.
-    """
-    spark = docs.sparkSession
-    text = text_or_empty()
-    sized = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_key"),
-        F.size(words(text)).cast("bigint").alias("size"),
-    )
-    sized = checkpointed(sized.withColumn("at", F.xxhash64(F.lit(seed), "text_key", F.coalesce("doc_id", F.lit(-1)))))
-    plan = plan_mix(sized, block_words, weights, cap, seed, n_shards)
-
-    most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    bits = max(0, (int(most) // ROWS_PER_BUCKET).bit_length())
-    bucket = F.shiftrightunsigned(F.col("at"), 64 - bits) if bits else F.lit(0).cast("bigint")
-    dealt = sized.withColumn("bucket", bucket)
+    # a stream is summed up in two levels of about as many rows each: within a bucket, and over the buckets of a source
+    most = narrow.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    bits = int(most).bit_length() // 2
+    dealt = lambda df: df.withColumn("bucket", F.shiftrightunsigned(F.col("at"), 64 - bits) if bits else F.lit(0).cast("bigint"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = checkpointed(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words"))
-    dealt = join_groups(dealt, sums, ["source", "bucket"], sums.count())
-    inside = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("low", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = join_groups(dealt, plan.rows, ["source"], plan.n_sources)
-
-    b = block_words
-    end = F.least(F.col("source_size"), (F.col("start") + F.col("extra")) * b)  # the run of extra blocks, and its part past the end
-    wrap = F.greatest(F.lit(0).cast("bigint"), (F.col("start") + F.col("extra") - F.col("n_blocks")) * b)
-    low, high = F.col("low"), F.col("low") + F.col("size")
-    runs = []
-    for a, z in ((F.col("start") * b, end), (F.lit(0).cast("bigint"), wrap)):
-        runs.append((_within(low, F.lit(0), F.lit(0)) + F.least(F.col("size"), F.greatest(F.lit(0).cast("bigint"), a - low)), _within(high, a, z) - _within(low, a, z)))
-    (from_1, n_1), (from_2, n_2) = runs
-    return out.select(
-        "doc_id", "text_key", "size", "source_size", "target", (F.col("base") * F.col("size") + n_1 + n_2).alias("taken"), "base",
-        from_1.alias("from_1"), n_1.alias("n_1"), from_2.alias("from_2"), n_2.alias("n_2"),
-    )
+    sums = dealt(narrow).groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = space.table(sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before")), "sums")
+    space.drop(but=("sums",))
+    ties = F.xxhash64(*(F.col("row")[c] for c in others)) if others else F.lit(0)
+    inside = Window.partitionBy("source", "bucket").orderBy("at", "text_key", ties).rowsBetween(Window.unboundedPreceding, -1)
+    placed = join_groups(dealt(sized), sums, ["source", "bucket"], sums.count(), salt_by=["at"])
+    placed = placed.withColumn("first", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = join_groups(placed, plan.rows, ["source"], plan.n_sources, salt_by=["at"])
+    own = F.transform("runs", lambda r: F.struct(r["shard"].alias("shard"), F.greatest(r["low"] - F.col("first"), F.lit(0)).alias("low"), F.least(r["high"] - F.col("first"), F.col("size")).alias("high")))
+    return out.select("row", "text_key", "size", "source_size", "target", F.filter(own, lambda t: t["high"] > t["low"]).alias("takes"))
+
+
+def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key, size, source_size, target, taken, and ``takes`` (shard, low, high), the stretches of its
+    words that each output shard takes.
+
+    Parameters and defaults: block_words 32, weights (1, 2, 3), cap 3, seed 7, n_shards 8.  Size: words of the text, none for
+    null.  The seeded order is by hash of text and doc_id, so reruns and other partitionings agree; repeated rows stand one after
+    another and have each its own words taken.  Null sources form one source, the last.  Documents without words take nothing.
+    An empty table gives no rows.  Only doc_id, source and text of ``docs`` are read.
+    """
+    found = _taken(docs.select("doc_id", "source", "text"), **parameters)
+    taken = F.aggregate("takes", F.lit(0).cast("bigint"), lambda n, t: n + t["high"] - t["low"])
+    return found.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "text_key", "size", "source_size", "target", taken.alias("taken"), "takes")
 
 
 def mixed_texts(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, and its taken words, joined
-    by blanks, where a run of extra blocks begins or ends within it.  ``n_chars``, if there, follows the text.
+    """The mix itself, with the columns of ``docs``: a row for each stretch of a document that an output shard takes, with the text
+    unchanged where that is all of it, and else with its words joined by blanks.  ``n_chars``, if there, follows the text.
 
-    Rows alike in doc_id and text share one decision.  Documents without words don't appear.
+    Parameters as for :func:`mix_documents`.  Repeated rows are rows of their own, and other columns stay whatever their
+    names.  Documents without words don't appear.  An empty table gives no rows.
     """
-    columns = docs.columns
-    taken = mix_documents(docs, **parameters).where("taken > 0").groupBy("doc_id", "text_key").agg(*(F.max(c).alias(f"__{c}") for c in ("size", "base", "from_1", "n_1", "from_2", "n_2")), F.count("*").alias("__rows"))
-    taken = taken.withColumnsRenamed({"doc_id": "__doc", "text_key": "__key"})
-    keyed = docs.dropDuplicates(["doc_id", "text", "source"]).withColumn("__hash", F.xxhash64(text_or_empty()))
-    joined = keyed.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__key")))
-    run = lambda n: let(words(F.col("text")), lambda w: F.concat(F.slice(w, F.col("__from_1").cast("int") + 1, F.col("__n_1").cast("int")), F.slice(w, F.col("__from_2").cast("int") + 1, F.col("__n_2").cast("int"))))
-    extra = F.col("__n_1") + F.col("__n_2")
-    whole = F.array_repeat(F.col("text"), F.col("__base").cast("int") + (extra == F.col("__size")).cast("int"))
-    part = F.when((extra > 0) & (extra < F.col("__size")), F.array(F.concat_ws(" ", run(0)))).otherwise(F.array().cast("array<string>"))
-    copies = F.flatten(F.array_repeat(F.concat(whole, part), F.col("__rows").cast("int")))
-    out = joined.withColumn("__copies", copies).drop("text").withColumn("text", F.explode("__copies"))
-    return out.select(*((F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in columns))
+    found = _taken(docs, **parameters).select("row", "size", F.explode("takes").alias("take"))
+    part = let(words(F.col("row.text")), lambda w: F.concat_ws(" ", F.slice(w, F.col("take.low").cast("int") + 1, (F.col("take.high") - F.col("take.low")).cast("int"))))
+    made = found.withColumn("text", F.when(F.col("take.high") - F.col("take.low") == F.col("size"), F.col("row.text")).otherwise(part))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        return F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c)
+
+    return made.select(*map(column, docs.columns))

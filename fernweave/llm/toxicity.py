@@ -2,7 +2,7 @@
 
 For each labelled text, an identity term that it holds is swapped for another one (a text without any gets one put in), and
 the squared change of the score's logit is penalised.  Neutral mentions of a group so come to weigh nothing.  The model is
-fitted on a bounded sample of labelled rows on the driver; scoring is one pass over whole texts.
+fitted on a bounded sample of labelled rows in one task; scoring is one pass over whole texts.
 """
 
 from __future__ import annotations
@@ -97,44 +97,56 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_negative: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_negative: int = 6000, max_features: int = 1 << 14) -> Model:
     """Fit on at most so many labelled rows of each kind, those of least hash; held-out rows and null labels don't count.
 
-    A document with several labels counts as toxic if one says so.  Without rows of both kinds all scores are one value.
+    A document with several labels counts as toxic if one says so; one with several texts is learnt by that of least hash, and a
+    text of more than ``max_features`` features by so many of them.  Without rows of both kinds all scores are one value.
+    Only doc_id and text of ``docs``, doc_id and toxic of ``labels`` are read; either may be empty.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in ((1, max_positive), (0, max_negative))]
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some[0].unionByName(some[1])), F.col("doc_id") == F.col("id"))  # at most max_positive + max_negative rows
 
-    def run(batches: Iterator) -> Iterator:
+    def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         number = {t: i for i, t in enumerate(IDENTITY_TERMS)}
         for batch in batches:
             found = [text_words(t.as_py()) for t in batch.column("text")]
-            features = [np.unique(np.array([f for w in s for f in word_features(w)], np.int32)).tobytes() for s in found]
-            terms = [sorted(number[w] for w in s if w in number) for s in found]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([zlib.crc32(f) for f in features], pa.int64()), batch.column("toxic"), pa.array(features, pa.binary()), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "crc", "toxic", "features", "terms"])
+            features = [np.unique(np.array([f for w in s for f in word_features(w)], np.int32)) for s in found]
+            features = [(x if len(x) <= max_features else np.sort(x[np.argsort(x * np.int32(0x61C88647))[:max_features]])).tobytes() for x in features]
+            terms = [np.array(sorted(number[w] for w in s if w in number), np.int32).tobytes() for s in found]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([zlib.crc32(f) for f in features], pa.int64()), batch.column("toxic"), pa.array(features, pa.binary()), pa.array(terms, pa.binary())], names=["doc_id", "crc", "toxic", "features", "terms"])
+
+    def learn(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])  # in no other order, whatever the order of arrival
+        features, terms = ([np.frombuffer(r[c], np.int32) for r in rows] for c in ("features", "terms"))
+        model = fit(features, np.array([r["toxic"] for r in rows], float), [t.tolist() for t in terms])
+        yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, crc long, toxic int, features binary, terms array<int>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["crc"]))  # the fit doesn't depend on the order of arrival
-    features = [np.frombuffer(r["features"], np.int32) for r in rows]
-    return fit(features, np.array([r["toxic"] for r in rows], float), [r["terms"] for r in rows])
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, crc long, toxic int, features binary, terms binary")
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "features", "terms"), F.struct("crc", "features")).alias("r")).select("doc_id", "r.*")
+    found = one.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), from the whole text alone.
 
-    Null and empty texts get the score of the bias; equal texts get equal scores.
+    Null and empty texts get the score of the bias; equal texts, and so repeated rows, get equal scores.  An empty table gives
+    no rows.  Columns of ``docs`` that bear the new names are replaced; ``names`` may give others.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS weights, whatever the input
-    kept = docs.drop("score", "predicted")
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # DIMENSIONS weights, whatever the input
+    kept = docs.drop(*names)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, weight = shared.value, {}
+        model, weight = Model(*shared.value), {}
         for batch in batches:
             z = []
             for text in batch.column("text"):
@@ -150,9 +162,9 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
                         heavy[got[0]] = got[1]  # forms that differ by punctuation alone count once
                 z.append(math.fsum(heavy.values()))
             score = _sigmoid(model.bias + np.array(z, float))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, _with(kept, "score double, predicted int"))
+    return kept.mapInArrow(run, _with(kept, f"`{names[0]}` double, `{names[1]}` int"))
 
 
 def _with(docs: DataFrame, more: str):

@@ -106,13 +106,14 @@ def plan_mix(sized: DataFrame, block_words: int, weights: tuple[int, ...], cap:
     return MixPlan(sized.sparkSession.createDataFrame(rows, schema), len(rows), targets, quotas)
 
 
-def _taken(docs: DataFrame, block_words: int = 32, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, n_shards: int = 8) -> DataFrame:
-    """For each row of ``docs``: the row itself as ``row``, text_key, size, source_size, target and ``takes`` (shard, low, high): the
+def _taken(docs: DataFrame, texts: bool, block_words: int = 32, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, n_shards: int = 8) -> DataFrame:
+    """For each row of ``docs``: the row itself as ``row``, or without ``texts`` its other columns, text_key, size, source_size, target and ``takes`` (shard, low, high): the
     stretches of its words that the output shards take."""
     space, text, others = Workspace(docs.sparkSession, "mix"), text_or_empty(), [c for c in docs.columns if c != "text"]
-    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_key"), F.size(words(text)).cast("bigint").alias("size"))
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in (docs.columns if texts else others))).alias("row"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_key"), F.size(words(text)).cast("bigint").alias("size"))
     sized = sized.withColumn("at", F.xxhash64(F.lit(seed), "text_key", F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(-1))))
-    narrow = space.table(sized.select("source", "at", "size"), "sizes")
+    narrow = space.table(sized.select("source", "at", "size") if texts else sized, "sizes")
+    sized = sized if texts else narrow
     plan = plan_mix(narrow, block_words, weights, cap, seed, n_shards)
 
     # a stream is summed up in two levels of about as many rows each: within a bucket, and over the buckets of a source
@@ -122,7 +123,7 @@ def _taken(docs: DataFrame, block_words: int = 32, weights: tuple[int, ...] = (1
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt(narrow).groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = space.table(sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before")), "sums")
-    space.drop(but=("sums",))
+    space.drop(but=("sums",) if texts else ("sums", "sizes"))
     ties = F.xxhash64(*(F.col("row")[c] for c in others)) if others else F.lit(0)
     inside = Window.partitionBy("source", "bucket").orderBy("at", "text_key", ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = join_groups(dealt(sized), sums, ["source", "bucket"], sums.count(), salt_by=["at"])
@@ -141,7 +142,7 @@ def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     another and have each its own words taken.  Null sources form one source, the last.  Documents without words take nothing.
     An empty table gives no rows.  Only doc_id, source and text of ``docs`` are read.
     """
-    found = _taken(docs.select("doc_id", "source", "text"), **parameters)
+    found = _taken(docs.select("doc_id", "source", "text"), False, **parameters)
     taken = F.aggregate("takes", F.lit(0).cast("bigint"), lambda n, t: n + t["high"] - t["low"])
     return found.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "text_key", "size", "source_size", "target", taken.alias("taken"), "takes")
 
@@ -153,7 +154,7 @@ def mixed_texts(docs: DataFrame, **parameters) -> DataFrame:
     Parameters as for :func:`mix_documents`.  Repeated rows are rows of their own, and other columns stay whatever their
     names.  Documents without words don't appear.  An empty table gives no rows.
     """
-    found = _taken(docs, **parameters).select("row", "size", F.explode("takes").alias("take"))
+    found = _taken(docs, True, **parameters).select("row", "size", F.explode("takes").alias("take"))
     part = let(words(F.col("row.text")), lambda w: F.concat_ws(" ", F.slice(w, F.col("take.low").cast("int") + 1, (F.col("take.high") - F.col("take.low")).cast("int"))))
     made = found.withColumn("text", F.when(F.col("take.high") - F.col("take.low") == F.col("size"), F.col("row.text")).otherwise(part))
 

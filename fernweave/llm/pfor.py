@@ -11,9 +11,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -22,17 +25,47 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 BLOCK = 256
-#: A file is closed when it has so many ids or documents.
-FILE_IDS, FILE_DOCS = 1 << 18, 1 << 14
-#: Characters of texts and of joined new units that are tokenized at once, and the units whose ids a worker remembers.
-BATCH_CHARS, JOINED_CHARS, KEPT_UNITS = 1 << 20, 1 << 14, 800_000
-#: A single blank between two characters that aren't white space always begins a pre-token, so texts may be cut there.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Where none of this is found, all blanks are such places.
-_ODD = re.compile(r"^ | \s|\s | $")
+#: A file has about so many characters of text, or so many documents.
+FILE_CHARS, FILE_DOCS = 1 << 22, 1 << 14
+#: Characters of new units that are tokenized at once, and the units whose ids a worker remembers.
+JOINED_CHARS, KEPT_UNITS = 1 << 14, 1_000_000
+#: A single blank between two characters that aren't white space always begins a pre-token, so texts may be cut there, and a line
+#: feed is one by itself unless it ends a text or a run of three.  Texts with any of this go to the library whole:
+_ODD = "^ |  | $| \n|\n |\n\n\n|\n\n$|[\t\v\f\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _HEAD = "<4sHHIQI"
 _MAGIC = b"FWPF"
 _POWERS = 1 << np.arange(32, dtype=np.uint64)
+#: Bits that each number below 65,536 needs.
+_BITS = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each of a row's values, one after another from the lowest bit on."""
+    if width in (8, 16, 32):
+        return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view(np.uint8).reshape(len(values), -1)
+    columns = np.ascontiguousarray(values.T).astype(np.uint64) & np.uint64((1 << width) - 1)
+    out = np.zeros((width * BLOCK // 64 + 1, len(values)), np.uint64)
+    for i, column in enumerate(columns):
+        word, shift = divmod(i * width, 64)
+        out[word] |= column << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= column >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out[:-1].T).astype("<u8").view(np.uint8)
+
+
+def _unpacked(data: np.ndarray, width: int) -> np.ndarray:
+    """What ``_packed`` was given, below 2 ** ``width``."""
+    if width in (8, 16, 32):
+        return np.ascontiguousarray(data).view(f"<u{width // 8}").astype(np.uint32)
+    words = np.ascontiguousarray(np.ascontiguousarray(data).view("<u8").T)
+    out, mask = np.empty((BLOCK, len(data)), np.uint32), np.uint64((1 << width) - 1)
+    for i in range(BLOCK):
+        word, shift = divmod(i * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | (words[word + 1] << np.uint64(64 - shift))
+        out[i] = value & mask
+    return out.T
 
 
 def pack(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
@@ -45,19 +78,19 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
     grid = grid.reshape(n, BLOCK)
     base = grid.min(axis=1)
     delta = grid - base[:, None]
-    bits = np.searchsorted(_POWERS, delta.astype(np.uint64), side="right").astype(np.uint8)
-    width = np.sort(bits, axis=1)[:, int(percentile * (BLOCK - 1))]
-    high = (delta.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype(np.uint32)
-    row, position = np.nonzero(high)
+    bits = _BITS[delta] if int(delta.max()) < len(_BITS) else np.searchsorted(_POWERS, delta.astype(np.uint64), side="right").astype(np.uint8)
+    at = int(percentile * (BLOCK - 1))
+    width = np.partition(bits, at, axis=1)[:, at]
+    row, position = np.nonzero(bits > width[:, None])
+    values = (delta[row, position].astype(np.uint64) >> width[row].astype(np.uint64)).astype("<u4")
     n_high = np.bincount(row, minlength=n).astype(np.uint16)
     at = np.concatenate([[0], np.cumsum(n_high, dtype=np.int64)])
-    position, values = position.astype(np.uint8), high[high != 0].astype("<u4")
+    position = position.astype(np.uint8)
     packed: dict[int, bytes] = {}
     for w in map(int, np.unique(width)):
         if w:
             which = np.nonzero(width == w)[0]
-            out = np.packbits(((delta[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
-            packed.update(zip(which.tolist(), map(bytes, out), strict=True))
+            packed.update(zip(which.tolist(), map(bytes, _packed(delta[which], w)), strict=True))
     parts = [struct.pack("<IBH", base[i], width[i], n_high[i]) + packed.get(i, b"") + position[at[i] : at[i + 1]].tobytes() + values[at[i] : at[i + 1]].tobytes() for i in range(n)]
     return np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<u4"), b"".join(parts)
 
@@ -74,8 +107,7 @@ def unpack(starts: np.ndarray, blocks: np.ndarray, first: int, last: int) -> np.
     for w in map(int, np.unique(width)):
         if w:
             which = np.nonzero(width == w)[0]
-            bits = np.unpackbits(take(at[which] + 7, BLOCK * w // 8), axis=1, bitorder="little").reshape(len(which), BLOCK, w)
-            out[which] += (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            out[which] += _unpacked(take(at[which] + 7, BLOCK * w // 8), w)
     n_high = n_high.astype(np.int64)
     total = int(n_high.sum())
     if total:
@@ -88,12 +120,12 @@ def unpack(starts: np.ndarray, blocks: np.ndarray, first: int, last: int) -> np.
     return out.reshape(-1)
 
 
-def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def write_file(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     starts, blocks = pack(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     return b"".join([
         struct.pack(_HEAD, _MAGIC, 1, BLOCK, len(doc_ids), len(ids), len(starts) - 1), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(),
-        np.array(lengths, "<u4").tobytes(), starts.astype("<u4").tobytes(), blocks,
+        np.asarray(lengths, "<u4").tobytes(), starts.astype("<u4").tobytes(), blocks,
     ])
 
 
@@ -118,72 +150,129 @@ class File:
         return unpack(self._starts, self._blocks, first, -(-stop // BLOCK))[start - first * BLOCK : stop - first * BLOCK]
 
 
+class _Units:
+    """A tokenizer and the ids of units: those of unit i are ``ids[ends[i] : ends[i + 1]]``."""
+
+    def __init__(self, path: str) -> None:
+        import tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks use the cores
+        self.plain, self.whole = (tokenizers.Tokenizer.from_file(path) for _ in range(2))
+        self.plain.encode_special_tokens = True  # their strings are ordinary text
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.size = np.zeros(self.plain.get_vocab_size(), np.int64)
+        for token, i in self.plain.get_vocab().items():
+            self.size[i] = len(token)  # byte-level: a character for each byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends, self.n = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), 0
+
+    def encoded(self, texts: list[str], added_tokens: bool = False) -> list[np.ndarray]:
+        tokenizer = self.whole if added_tokens else self.plain
+        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def add(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = int(self.ends[self.n]), len(units)
+        self.ids, self.ends = _grown(self.ids, first + len(ids)), _grown(self.ends, self.n + n + 1)
+        self.ids[first : first + len(ids)], self.ends[self.n + 1 : self.n + n + 1] = ids, first + np.cumsum(sizes)
+        self.number.update(zip(units, range(self.n, self.n + n), strict=True))
+        self.n += n
+
+    def learn(self, units: list[str]) -> None:
+        """Find the ids of new units, each with the blank before it unless it begins with a line feed.  They are joined for the
+        library, so that it makes few results, and told apart by the bytes of each id."""
+        parts = [u if u[0] == "\n" else f" {u}" for u in units]
+        data = np.frombuffer((joined := "".join(parts)).encode("utf-8", "surrogatepass"), np.uint8)
+        ids = self.encoded([joined])[0]
+        begin, ends = np.nonzero((data == 32) | (data == 10))[0], np.cumsum(self.size[ids])
+        at = np.concatenate([[0], np.searchsorted(ends, begin[1:]) + 1, [len(ids)]])
+        if len(begin) != len(units) or (ends[at[1:-1] - 1] != begin[1:]).any():
+            each = self.encoded(parts)
+            ids, at = np.concatenate(each), np.cumsum([0, *map(len, each)])
+        self.add(units, ids, np.diff(at))
+
+
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+
+
+def _kept_units(path: str) -> _Units:
+    """What this process has learnt so far.  Code comes to a worker by value with each task, so what is to outlive one is kept in a
+    module made for it."""
+    kept = vars(sys.modules.setdefault("_fernweave_worker", types.ModuleType("_fernweave_worker")))
+    if kept.get("path") != path:
+        kept.update(path=path, units=_Units(path))
+    return kept["units"]
+
+
 class UnitEncoder:
-    """Encodes texts cut at blanks; the tokenizers library sees each distinct unit once, until too many are remembered.
+    """Encodes texts cut at blanks and line feeds; the tokenizers library sees each distinct unit once, until too many are remembered.
 
-    New units are joined again for the library, so that it makes few results, and are told apart by the bytes of each id.
     With ``added_tokens``, the strings of the vocabulary's added tokens get the ids of these, as the library gives them by
     default, and a text that holds one goes to it whole; otherwise they are ordinary text.
     """
 
     def __init__(self, path: str, added_tokens: bool = False) -> None:
-        import tokenizers
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks use the cores
-        kept = vars(tokenizers).setdefault("_fernweave_units", {})  # outlives a task, as the worker does
-        if path not in kept:
-            tokenizer = tokenizers.Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a unit are ordinary text
-            whole = tokenizers.Tokenizer.from_file(path)
-            added = [t.content for t in whole.get_added_tokens_decoder().values()]
-            size = np.zeros(tokenizer.get_vocab_size(), np.int64)
-            for token, i in tokenizer.get_vocab().items():
-                size[i] = len(token)  # byte-level: a character for each byte
-            kept.clear()
-            kept[path] = tokenizer, size, {}, whole, re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.tokenizer, self.size, self.known, self.whole, self.added = kept[path]
-        self.added_tokens = added_tokens
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, units: list[str]) -> None:
-        """Remember the ids of units, here without the blank before each."""
-        ids = self._ids(["".join([" " + u for u in units])])[0]
-        ends = np.cumsum(self.size[ids])
-        want = np.cumsum([1 + len(u.encode("utf-8", "surrogatepass")) for u in units])
-        at = np.searchsorted(ends, want)
-        if len(ends) and (at < len(ends)).all() and (ends[at] == want).all():
-            data, bounds = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
-            self.known.update(zip(units, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
-        else:
-            self.known.update(zip(units, (x.tobytes() for x in self._ids([" " + u for u in units])), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        at = [i for i, t in enumerate(texts) if self.added.search(t)] if self.added_tokens else []
-        if at:
-            whole = self.whole.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)
-            ids = {i: np.array(x.ids, "<u4").tobytes() for i, x in zip(at, whole, strict=True)}
-            rest = iter(self._encode([t for i, t in enumerate(texts) if i not in ids]))
-            return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
-        return self._encode(texts)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if not _ODD.search(t) else [u[i > 0 :] for i, u in enumerate(_CUT.split(t))] for t in texts]
-        firsts = [s.pop(0) for s in split]
-        if len(self.known) > KEPT_UNITS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        low = 0
+        self.units, self.added_tokens = _kept_units(path), added_tokens
+        self.odd = "|".join([_ODD, *(map(re.escape, self.units.added) if added_tokens else [])])
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        known = self.units
+        out = np.fromiter(map(known.number.get, units, repeat(-1)), np.int64, len(units))
+        at = np.nonzero(out < 0)[0]
+        if known.n + len(at) > KEPT_UNITS and known.n:
+            known.forget()  # but for these
+            return self._numbers(units)
+        out[at], low = known.n + np.arange(len(at)), 0
+        new = [units[i] for i in at.tolist()]
         while low < len(new):
             high, size = low, 0
             while high < len(new) and (size == 0 or size + len(new[high]) <= JOINED_CHARS):
                 size += len(new[high])
                 high += 1
-            self._learn(new[low:high])
+            known.learn(new[low:high])
             low = high
-        return [f.tobytes() + b"".join(map(self.known.__getitem__, s)) for f, s in zip(self._ids(firsts), split, strict=True)]
+        return out
+
+    def encode(self, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, an Arrow array of strings without nulls, and all ids; each text's end with ``end_id``."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        broken = texts.filter(pa.array(odd)).to_pylist()
+        split = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
+        n, flat = np.diff(split.offsets.to_numpy()), split.flatten()
+        rest = np.ones(len(flat), bool)
+        rest[np.cumsum(n) - n] = False  # a text's first unit has no blank before it
+        whole = self.units.encoded(flat.filter(pa.array(~rest)).to_pylist())
+        coded = flat.filter(pa.array(rest)).dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        whole += self.units.encoded(broken, self.added_tokens)
+        whole.append(np.array([] if end_id is None else [end_id], "<u4"))
+
+        # lists of ids: those of the distinct units, then those of first units, of whole texts, and the end
+        ends, after = self.units.ends, int(self.units.ends[self.units.n])
+        begin = after + np.cumsum([0, *map(len, whole)])
+        self.units.ids = pool = _grown(self.units.ids, int(begin[-1]))
+        pool[after : begin[-1]] = np.concatenate(whole)  # behind those of the units, until the next are added
+        start, size = np.concatenate([ends[numbers], begin[:-1]]), np.concatenate([ends[numbers + 1] - ends[numbers], np.diff(begin)])
+        # for each text, whether of units or whole, the lists that it is made of, and the end
+        of = np.zeros(len(texts), np.int64)
+        of[~odd], of[odd] = n + 1, 2
+        last = np.cumsum(of)
+        row = np.full(int(of.sum()), len(size) - 1)
+        first = last - of
+        row[first[~odd]], row[first[odd]] = len(numbers) + np.arange(len(n)), len(numbers) + len(n) + np.arange(len(broken))
+        inner = np.ones(len(row), bool)
+        inner[first] = inner[last - 1] = False
+        row[inner] = coded.indices.to_numpy()
+        taken = size[row]
+        upto = np.cumsum(taken)
+        ids = pool[np.repeat(start[row] - (upto - taken), taken) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        return np.add.reduceat(taken, first) if len(first) else taken, ids
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, added_tokens: bool = False) -> None:
@@ -195,39 +284,20 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, added
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        encoder, end = UnitEncoder(tokenizer, added_tokens), np.array([end_id], "<u4").tobytes()
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
-        doc_ids: list[int | None] = []
-        parts: list[bytes] = []
-        n_ids = 0
-
-        def closed():
-            nonlocal doc_ids, parts, n_ids, seq, before
-            data = write_file(doc_ids, [len(p) // 4 for p in parts], np.frombuffer(b"".join(parts), "<u4"))
-            out = pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (before, pa.int64()), (n_ids, pa.int64()), (data, pa.binary()))], names=["part", "seq", "before", "n_ids", "data"])
-            doc_ids, parts, seq, before, n_ids = [], [], seq + 1, before + n_ids, 0
-            return out
-
+        encoder, part, seq, before = UnitEncoder(tokenizer, added_tokens), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            chars = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
             low = 0
-            while low < len(keys):
-                high, size, some = low, 0, []
-                while high < len(keys) and size < BATCH_CHARS:
-                    some.append(texts[high].as_py())
-                    size += len(some[-1]) + 64
-                    high += 1
-                for key, got in zip(keys[low:high], encoder.encode(some), strict=True):
-                    doc_ids.append(key)
-                    parts.append(got + end)
-                    n_ids += len(parts[-1]) // 4
-                    if n_ids >= FILE_IDS or len(doc_ids) >= FILE_DOCS:
-                        yield closed()
-                low = high
-        if doc_ids:
-            yield closed()
+            while low < len(chars):
+                high = int(np.searchsorted(chars, (chars[low - 1] if low else 0) + FILE_CHARS, side="right"))
+                high = max(low + 1, min(high, low + FILE_DOCS))
+                lengths, ids = encoder.encode(batch.column("text").slice(low, high - low), end_id)
+                data = write_file(batch.column("doc_id").slice(low, high - low).to_pylist(), lengths, ids)
+                yield pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (before, pa.int64()), (len(ids), pa.int64()), (data, pa.binary()))], names=["part", "seq", "before", "n_ids", "data"])
+                low, seq, before = high, seq + 1, before + len(ids)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id"), F.xxhash64("text")]

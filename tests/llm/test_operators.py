@@ -19,7 +19,7 @@ from fernweave.llm.media import media_features, read_pictures, write_payloads
 from fernweave.llm.minhash import near_duplicates, overlaps, similarity, text_shingles
 from fernweave.llm.mixing import mix_documents, mixed_texts, seats, source_targets
 from fernweave.llm.outliers import reject_outliers
-from fernweave.llm.pfor import File, pack, token_ids, unpack, write_file
+from fernweave.llm.pfor import File, UnitEncoder, pack, token_ids, unpack, write_file
 from fernweave.llm.pieces import encode_documents
 from fernweave.llm.sharding import shard_documents
 from fernweave.llm.toxicity import IDENTITY_TERMS, score_documents, train
@@ -220,6 +220,22 @@ def test_token_ids(spark, rows, edge):
     assert odd == {(r.doc_id, zlib.crc32(np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for r in edge.collect()}
 
 
+def test_units_are_encoded_as_whole_texts_are():
+    import pyarrow as pa
+    import tokenizers
+
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(11)
+    parts = [" ", " ", " ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "a", "The", "don't", "'s", "12", "...", "#$%", "é", "日本", "🙂", "<|endoftext|>", "naïve", "x_y"]
+    texts = ["", " ", "\n", " a", "a ", "a\nb", "a\n\nb", "a\n\n\nb", "a\n", "a\n\n", "a \nb", "\na"] + ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(3000)]
+    library = tokenizers.Tokenizer.from_file(path)
+    for added in (True, False):
+        library.encode_special_tokens = not added
+        want = [[*x.ids, 0] for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+        for some in (texts, texts[:0], texts[:1]):
+            lengths, ids = UnitEncoder(path, added).encode(pa.array(some, pa.string()), 0)
+            assert lengths.tolist() == [len(x) for x in want[: len(some)]] and ids.tolist() == [i for x in want[: len(some)] for i in x]
+
+
 def test_mix(spark, rows):
     got = Q.op7_source_mix(spark, SF).collect()
     size, target, taken = collections.Counter(), {}, collections.Counter()

@@ -26,7 +26,7 @@ from .common import shared_dir
 
 BLOCK = 256
 #: A file has about so many characters of text, or so many documents.
-FILE_CHARS, FILE_DOCS = 1 << 22, 1 << 14
+FILE_CHARS, FILE_DOCS = 1 << 23, 1 << 16
 #: Characters of new units that are tokenized at once, and the units whose ids a worker remembers.
 JOINED_CHARS, KEPT_UNITS = 1 << 14, 1_000_000
 #: A single blank between two characters that aren't white space always begins a pre-token, so texts may be cut there, and a line
@@ -163,11 +163,21 @@ class _Units:
         self.size = np.zeros(self.plain.get_vocab_size(), np.int64)
         for token, i in self.plain.get_vocab().items():
             self.size[i] = len(token)  # byte-level: a character for each byte
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.ends, self.n = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), 0
+        self.again = np.zeros(1 << 18, bool)  # met since it was learnt, or since the last sweep
+
+    def sweep(self) -> None:
+        """Forget the units that weren't met again, or all if that leaves too many."""
+        if np.count_nonzero(self.again) > KEPT_UNITS // 2:
+            self.again[:] = False
+        kept = [u for u, i in self.number.items() if self.again[i]]  # in the order of their numbers
+        at = np.nonzero(self.again[: self.n])[0]
+        size = (self.ends[1:] - self.ends[:-1])[at]
+        ids = self.ids[np.repeat(self.ends[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        self.number, self.n = {}, 0
+        self.again[:] = False
+        self.add(kept, ids, size)
 
     def encoded(self, texts: list[str], added_tokens: bool = False) -> list[np.ndarray]:
         tokenizer = self.whole if added_tokens else self.plain
@@ -175,7 +185,7 @@ class _Units:
 
     def add(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, n = int(self.ends[self.n]), len(units)
-        self.ids, self.ends = _grown(self.ids, first + len(ids)), _grown(self.ends, self.n + n + 1)
+        self.ids, self.ends, self.again = _grown(self.ids, first + len(ids)), _grown(self.ends, self.n + n + 1), _grown(self.again, self.n + n)
         self.ids[first : first + len(ids)], self.ends[self.n + 1 : self.n + n + 1] = ids, first + np.cumsum(sizes)
         self.number.update(zip(units, range(self.n, self.n + n), strict=True))
         self.n += n
@@ -221,9 +231,10 @@ class UnitEncoder:
     def _numbers(self, units: list[str]) -> np.ndarray:
         known = self.units
         out = np.fromiter(map(known.number.get, units, repeat(-1)), np.int64, len(units))
+        known.again[out[out >= 0]] = True
         at = np.nonzero(out < 0)[0]
         if known.n + len(at) > KEPT_UNITS and known.n:
-            known.forget()  # but for these
+            known.sweep()
             return self._numbers(units)
         out[at], low = known.n + np.arange(len(at)), 0
         new = [units[i] for i in at.tolist()]

@@ -26,9 +26,9 @@ from .common import shared_dir
 
 BLOCK = 256
 #: A file has about so many characters of text, or so many documents.
-FILE_CHARS, FILE_DOCS = 1 << 23, 1 << 16
+FILE_CHARS, FILE_DOCS = 1 << 22, 1 << 16
 #: Characters of new units that are tokenized at once, and the units whose ids a worker remembers.
-JOINED_CHARS, KEPT_UNITS = 1 << 14, 1_000_000
+JOINED_CHARS, KEPT_UNITS = 1 << 14, 600_000
 #: A single blank between two characters that aren't white space always begins a pre-token, so texts may be cut there, and a line
 #: feed is one by itself unless it ends a text or a run of three.  Texts with any of this go to the library whole:
 _ODD = "^ |  | $| \n|\n |\n\n\n|\n\n$|[\t\v\f\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -157,11 +157,10 @@ class _Units:
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks use the cores
-        self.plain, self.whole = (tokenizers.Tokenizer.from_file(path) for _ in range(2))
-        self.plain.encode_special_tokens = True  # their strings are ordinary text
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.size = np.zeros(self.plain.get_vocab_size(), np.int64)
-        for token, i in self.plain.get_vocab().items():
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)  # byte-level: a character for each byte
         self.number: dict[str, int] = {}
         self.ids, self.ends, self.n = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), 0
@@ -180,8 +179,8 @@ class _Units:
         self.add(kept, ids, size)
 
     def encoded(self, texts: list[str], added_tokens: bool = False) -> list[np.ndarray]:
-        tokenizer = self.whole if added_tokens else self.plain
-        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = not added_tokens  # their strings are then ordinary text
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def add(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, n = int(self.ends[self.n]), len(units)
@@ -309,6 +308,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, added
                 data = write_file(batch.column("doc_id").slice(low, high - low).to_pylist(), lengths, ids)
                 yield pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (before, pa.int64()), (len(ids), pa.int64()), (data, pa.binary()))], names=["part", "seq", "before", "n_ids", "data"])
                 low, seq, before = high, seq + 1, before + len(ids)
+                pa.default_memory_pool().release_unused()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id"), F.xxhash64("text")]

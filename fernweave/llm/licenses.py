@@ -20,7 +20,8 @@ FAMILIES = {
     "mit": ("mit", 1.0), "apache": ("apache", 0.9), "bsd": ("bsd", 1.0), "isc": ("isc", 1.0), "unlicense": ("unlicense", 1.0), "0bsd": ("bsd", 1.0), "cc0": ("cc0", 1.0), "cc-by-sa": ("cc-by-sa", 0.5),
     "cc-by-nc": ("cc-by-nc", 0.1), "cc-by": ("cc-by", 0.8), "mpl": ("mpl", 0.6), "epl": ("epl", 0.6), "lgpl": ("lgpl", 0.5), "agpl": ("agpl", 0.1), "gpl": ("gpl", 0.3), "proprietary": ("proprietary", 0.0),
 }
-TAG = "spdx-license-identifier:"
+#: What stands before a licence expression, in any case; the expression ends with the line.
+TAGS = ("spdx-license-identifier:", "spdx-license-expression:", "license-identifier:", "license-expression:", "licence-identifier:", "licence-expression:")
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 
 _WORDS = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -108,12 +109,16 @@ def parse_expression(text: str) -> Parsed | None:
 
 
 class Scanner:
-    """Automata over whole texts.  Word automaton: the words joined by single blanks, each phrase with a blank on both sides."""
+    """Automata over whole texts: one of phrases over the words joined by single blanks, each phrase with a blank on both sides, and one
+    of identifier tags over the text itself in lower case."""
 
     def __init__(self) -> None:
         import ahocorasick
 
-        self.words = ahocorasick.Automaton()
+        self.words, self.tags = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for tag in TAGS:
+            self.tags.add_word(tag, tag)
+        self.tags.make_automaton()
         for phrase in {**NOTICE_PHRASES, **BASE_PHRASES}:
             self.words.add_word(f" {phrase} ", phrase)
         self.words.make_automaton()
@@ -135,10 +140,7 @@ class Scanner:
             starts.append(count)
             base.add(BASE_PHRASES[phrase])
         scores, expressions = [], []
-        at = -1
-        low = data.translate(_LOWER)
-        while (at := low.find(TAG.encode(), at + 1)) >= 0:
-            begin = at + len(TAG)
+        for begin in sorted({end + 1 for end, _ in self.tags.iter(data.translate(_LOWER).decode("latin-1"))}):
             end = data.find(b"\n", begin)
             if parsed := parse_expression(data[begin : end if end >= 0 else len(data)].decode("utf-8", "replace")):
                 labels |= parsed.labels
@@ -154,7 +156,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id and text are read): words, base phrase places, labels, evaluated expressions.
 
     ``score`` is the least permissiveness among what was found (0 to 1), 0 where nothing was.  Null text counts as empty:
-    no words, no labels, null first_word and last_word.  Lines of any length are read whole.
+    no words, no labels, null first_word and last_word.  Lines of any length are read whole.  Repeated rows are judged each; an
+    empty table gives no rows; other columns, whatever their names, are not read.
     """
 
     def run(batches: Iterator) -> Iterator:

@@ -368,7 +368,8 @@ def store_media(docs: DataFrame, path: str) -> None:
 def media_features(docs: DataFrame) -> DataFrame:
     """Store the texts of ``docs`` as pictures in the shared folder, read the pictures back, and compute their features.
 
-    One row for each row; equal texts get equal values.  An empty table gives no rows.
+    One row for each row; equal texts get equal values.  Null texts count as empty.  An empty table gives no rows.  Only doc_id and
+    text are read, whatever other columns there are.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fernweave-media-{uuid.uuid4().hex}"

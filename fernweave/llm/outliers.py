@@ -1,8 +1,9 @@
 """Quality rules: robust multivariate outliers among text statistics, per language and source, or where these have few rows per
 language or over all.
 
-A minimum-covariance-determinant estimate of centre and scatter is found by concentration steps from a start at medians and
-median absolute deviations: keep the share ``h`` of a group's rows with the least distances, estimate again, repeat.
+A minimum-covariance-determinant estimate of centre and scatter is found by concentration steps from two starts, medians with
+median absolute deviations, and means with the full covariance: keep the share ``h`` of a group's rows with the least distances
+(by grades of half a percent), estimate again, until the determinant falls no more.  The start that ends lower counts.
 Statistics are held as integers in thousandths, so all sums are exact and the verdicts do not depend on the partitioning.
 """
 
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, checkpointed, join_groups, let, text_or_empty, words
+from .common import WORD_GAP, Workspace, checkpointed, join_groups, let, text_or_empty, words
 
 #: Transformed statistics, with the least scale each is given (in natural-log units), for groups where it hardly varies.
 #: They are so small that where the centre is 0, each share alone can pass the limit: symbols beyond 6 %, duplicate lines beyond
@@ -98,10 +99,10 @@ def _levels(stats: DataFrame, min_rows: int) -> tuple[DataFrame, int]:
     return checkpointed(join_groups(groups, langs, ["lang"], langs.count()).select(*GROUP, level.alias("level"))), groups.count()
 
 
-def _estimates(kept: DataFrame, names: list[str], floors: list[float]) -> DataFrame:
-    """Per group: n, centre m_i, and the Cholesky factor l_i_j of the scatter, whose diagonal gets the least scales added."""
+def _estimates(kept: DataFrame, names: list[str], floors: list[float], keys: list[str]) -> DataFrame:
+    """Per group of ``keys``: n, centre m_i, and the Cholesky factor l_i_j of the scatter, whose diagonal gets the least scales added."""
     d = range(len(names))
-    sums = kept.groupBy(*FIT).agg(F.count("*").alias("n"), *(F.sum(names[i]).alias(f"s_{i}") for i in d), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)))
+    sums = kept.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(names[i]).alias(f"s_{i}") for i in d), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)))
     out = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in d})
     out = out.withColumns({f"c_{i}_{j}": F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}") + F.lit((1000 * floors[i]) ** 2 if i == j else 0.0) for i in d for j in range(i + 1)})
     for i in d:
@@ -110,10 +111,10 @@ def _estimates(kept: DataFrame, names: list[str], floors: list[float]) -> DataFr
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return out.select(*FIT, "n", *(f"m_{i}" for i in d), *(f"l_{i}_{j}" for i in d for j in range(i + 1)), sum((F.log(f"l_{i}_{i}") for i in d), F.lit(0.0)).alias("log_det"))
+    return out.select(*keys, "n", *(f"m_{i}" for i in d), *(f"l_{i}_{j}" for i in d for j in range(i + 1)), sum((F.log(f"l_{i}_{i}") for i in d), F.lit(0.0)).alias("log_det"))
 
 
-def reject_outliers(docs: DataFrame, h: float = 0.75, p: float = 0.9999, max_steps: int = 6, min_rows: int = 40) -> DataFrame:
+def reject_outliers(docs: DataFrame, h: float = 0.75, p: float = 0.9999, min_rows: int = 40) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     ``kept`` is false where a base rule fails, or where the squared robust distance within the row's language and source is
@@ -123,7 +124,7 @@ def reject_outliers(docs: DataFrame, h: float = 0.75, p: float = 0.9999, max_ste
     judged each.  An empty table gives no rows.  Only doc_id, text, lang and source are read.
     """
     names, floors = list(STATISTICS), list(STATISTICS.values())
-    d = range(len(names))
+    d, space = range(len(names)), Workspace(docs.sparkSession, "outliers")
     plain = checkpointed(text_statistics(docs))
     levels, n_levels = _levels(plain, min_rows)
     stats = _fitted(join_groups(plain, levels, GROUP, n_levels), F.col("level"))
@@ -135,25 +136,32 @@ def reject_outliers(docs: DataFrame, h: float = 0.75, p: float = 0.9999, max_ste
     n_groups = medians.count()
     spread = join_groups(rows, medians, FIT, n_groups).groupBy(*FIT).agg(F.max("rows").alias("n"), *(F.max(f"m_{i}").alias(f"m_{i}") for i in d), *(F.percentile(F.abs(F.col(n) - F.col(f"m_{i}")), F.lit(0.5)).alias(f"mad_{i}") for i, n in enumerate(names)))
     scale = {f"l_{i}_{j}": F.sqrt((1.4826 * F.col(f"mad_{i}")) ** 2 + (1000 * floors[i]) ** 2) if i == j else F.lit(0.0) for i in d for j in range(i + 1)}
-    model = checkpointed(spread.withColumns(scale | {"log_det": F.lit(1e300)}).drop(*(f"mad_{i}" for i in d)))
+    first, second = spread.withColumns(scale).drop(*(f"mad_{i}" for i in d)), _estimates(rows, names, floors, FIT).drop("log_det")
+    starts = first.withColumn("start", F.lit(0)).unionByName(second.withColumn("start", F.lit(1)))
+    model = space.table(starts.withColumns({"log_det": F.lit(math.inf), "lower": F.lit(True)}), "model-0")
 
-    def measured(rows: DataFrame, model: DataFrame) -> DataFrame:
-        joined = join_groups(rows, model, FIT, n_groups)
+    def measured(rows: DataFrame, model: DataFrame, n: int) -> DataFrame:
+        joined = join_groups(rows, model, FIT, n)
         square = _distance([F.col(n) for n in names], [F.col(f"m_{i}") for i in d], [[F.col(f"l_{i}_{j}") for j in range(i + 1)] for i in d])
-        return joined.withColumn("distance", square).drop(*(c for c in model.columns if c not in (*FIT, "n")))
-
-    for _ in range(max_steps):
-        graded = measured(rows, model).withColumn("grade", F.floor(200 * F.log1p("distance")).cast("int"))
-        limits = graded.groupBy(*FIT).agg(F.percentile("grade", F.lit(h)).alias("limit"))
-        inner = join_groups(graded, limits, FIT, n_groups).where(F.col("grade") <= F.ceil("limit"))
-        new = checkpointed(_estimates(inner.select(*FIT, *names), names, floors))
-        change = join_groups(new.select(*FIT, F.col("log_det").alias("now")), model.select(*FIT, "log_det"), FIT, n_groups).agg(F.max(F.abs(F.col("now") - F.col("log_det")))).first()[0]
-        model = new
-        if change is None or change < 1e-3:
-            break
+        return joined.withColumn("distance", square).drop(*(c for c in model.columns if c not in (*FIT, "n", "start")))
+
+    at, run = 0, [*FIT, "start"]
+    while not model.where("lower").isEmpty():  # each time the determinant of some group falls, and it has a least value
+        graded = measured(rows, model.where("lower"), 2 * n_groups).withColumn("grade", F.floor(200 * F.log1p("distance")).cast("int"))
+        limits = graded.groupBy(*run).agg(F.percentile("grade", F.lit(h)).alias("limit"))
+        inner = join_groups(graded, limits, run, 2 * n_groups, "inner").where(F.col("grade") <= F.ceil("limit"))
+        new = _estimates(inner.select(*run, *names), names, floors, run)
+        now = F.struct(*(F.col(c) for c in new.columns if c not in run)).alias("now")
+        pairs = join_groups(model, new.select(*run, now), run, 2 * n_groups)
+        falls = F.coalesce(F.col("lower") & (F.col("now.log_det") < F.col("log_det") - 1e-3), F.lit(False))
+        at += 1
+        model = space.table(pairs.select(*run, *(F.when(falls, F.col(f"now.{c}")).otherwise(F.col(c)).alias(c) for c in new.columns if c not in run), falls.alias("lower")), f"model-{at}")
+    best = F.min_by(F.struct(*(c for c in model.columns if c not in (*run, "n", "lower"))), F.struct("log_det", "start"))
+    model = space.table(model.groupBy(*FIT).agg(best.alias("m")).select(*FIT, "m.*"), "model")
+    space.drop(but=("model",))
 
     within = chi2_quantile(h, len(names))
     correction = h / _chi2_cdf(within, len(names) + 2)  # the inner rows alone would make the scatter too small
-    judged = measured(stats, model.drop("n"))
+    judged = measured(stats, model, n_groups)
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") / correction <= chi2_quantile(p, len(names)), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), (F.col("distance") / correction).alias("distance"))

@@ -342,7 +342,8 @@ def read_ids(spark, path: str) -> DataFrame:
 def token_ids(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
     """Write ``docs`` to files in the shared folder and read them back; see :func:`write_ids` and :func:`read_ids`.
 
-    An empty table gives no rows.
+    Null and empty texts get the end id alone, and repeated rows stand one after another.  An empty table gives no rows.  Only doc_id
+    and text are read, whatever other columns there are.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fernweave-ids-{uuid.uuid4().hex}"

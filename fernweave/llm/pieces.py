@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +25,7 @@ _UNIT = re.compile("\n| *[^ \n]+| +")
 #: Codes in the joined text: between units, and for characters that no piece has.
 _GAP, _OTHER = 0, 1
 #: Characters of new units that are indexed at once, units that a task remembers, pairs whose verdict it remembers.
-BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 19, 1_000_000, 4_000_000
+BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 19, 500_000, 2_000_000
 
 
 @dataclass
@@ -215,7 +215,7 @@ class Encoder:
         split = [_UNIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
         if len(self.known) > KEPT_UNITS:
             self.known.clear()
-        new = list(dict.fromkeys(u for s in split for u in s if u not in self.known))
+        new = sorted({u for s in split for u in s if u not in self.known}, key=len)  # so that long ones are relaxed side by side
         low = 0
         while low < len(new):
             high, size = low, 0
@@ -237,14 +237,16 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """Per row of ``docs``: doc_id, ids, n_tokens, decoded_crc32 (of the decoded text's UTF-8 bytes) and lossless.
 
     Whole texts are encoded and what comes out is decoded again.  ``lossless`` is false only where a text has the character
-    U+2581, which the vocabulary uses for blanks.  Null texts count as empty; these have no ids.
+    U+2581, which the vocabulary uses for blanks.  Null texts count as empty; these have no ids.  Repeated rows are encoded each;
+    an empty table gives no rows; other columns, whatever their names, are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))  # the vocabulary, whatever the input
+    v = load_vocabulary(model_file)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(v, f.name) for f in fields(v) if f.init))  # plain values, whatever the input
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        vocabulary = shared.value
+        vocabulary = Vocabulary(*shared.value)
         encoder = Encoder(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty, utf8_crc32
+from .common import Workspace, join_groups, text_or_empty, utf8_crc32
 
 _SIGN = 1 << 63
 
@@ -34,18 +34,19 @@ def _ordered(value: Column) -> Column:
     return F.coalesce(value.cast("bigint"), F.lit(-_SIGN))
 
 
-def find_splitters(rows: DataFrame, keys: list[str], weight: str, n_shards: int, tolerance: float, bits: int = 10) -> tuple[list[tuple[int, ...]], int]:
+def find_splitters(rows: DataFrame, keys: list[str], weight: str, n_shards: int, tolerance: float, bits: int = 10, cut: float = 0.1) -> tuple[list[tuple[int, ...]], int]:
     """Composite keys that begin shards 1 to ``n_shards - 1``, and the total weight.
 
     ``rows`` has non-null bigint columns ``keys`` and ``weight``.  A splitter may stand ``tolerance`` times a shard's
-    mean weight away from its target; where single keys are heavier than that, it takes the nearer side of the key.
+    mean weight away from its target; where a single key is heavier than that, it takes the nearer side of the key.  Rows alike
+    in an upper key are parted by the next one only where they weigh more than ``cut`` times a shard's mean.
     An empty table gives no splitters.
     """
     first = rows.agg(F.sum(weight), F.min(keys[0]), F.max(keys[0])).first()
     if first[0] is None:
         return [], 0
     total = int(first[0])
-    slack = int(tolerance * total / n_shards)
+    slack, heavy = int(tolerance * total / n_shards), int(cut * total / n_shards)
     open_: dict[int, Cell] = {k: Cell((), first[1], first[2], 0, total) for k in range(1, n_shards)}
     done: dict[int, tuple[int, ...]] = {}
     least = (-_SIGN,) * len(keys)
@@ -86,7 +87,7 @@ def find_splitters(rows: DataFrame, keys: list[str], weight: str, n_shards: int,
                 elif r["low"] < r["high"]:
                     open_[k] = Cell(c.prefix, r["low"], r["high"], below, w)
                     continue
-                elif level + 1 < len(keys):  # one heavy key: look at the next level within it
+                elif level + 1 < len(keys) and w > heavy:  # look at the next level within the key
                     inner = rows.where(F.col(keys[level]) == r["low"])
                     for name, v in zip(keys, c.prefix, strict=False):
                         inner = inner.where(F.col(name) == v)
@@ -120,21 +121,27 @@ def shard_of(keys: list[str], splitters: list[tuple[int, ...]]) -> Column:
     return tree(0, len(splitters)).cast("int")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002, cut: float = 0.1) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``: shards of near-equal bytes, gapless slots from 0.
 
     A document's size is its text's UTF-8 bytes plus 16; a null text has none.  Shards follow the order of the text's hash
-    and then of doc_id, so that equal texts stand together: a group of copies is cut only where it alone outweighs the
-    tolerance (0.2 % of a shard).  Rows alike in text and doc_id are one unit.  Null doc_ids sort first.  An empty table
-    gives no rows.  Columns of ``docs`` that bear one of the new names are replaced.
+    and then of doc_id, so that equal texts stand together: a group of copies is cut only where it alone outweighs ``cut`` times
+    a shard's mean size.  Rows alike in text and doc_id are one unit.  Null doc_ids sort first.  An empty table gives no rows.
+    Columns of ``docs`` that bear one of the new names are replaced.
     """
-    from pyspark.sql import Window
-
-    text = text_or_empty()
-    docs = docs.drop("size", "text_crc32", "shard", "slot", "__text", "__doc")
+    space, text, keys = Workspace(docs.sparkSession, "shards"), text_or_empty(), ["__text", "__doc"]
+    docs = docs.drop("size", "text_crc32", "shard", "slot", "bucket", *keys)
     sized = docs.withColumns({"size": F.octet_length(text).cast("bigint") + 16, "__text": F.xxhash64(text), "__doc": _ordered(F.col("doc_id"))})
-    keys = ["__text", "__doc"]
-    splitters, _ = find_splitters(checkpointed(sized.select(*keys, "size")), keys, "size", n_shards, tolerance)
-    placed = sized.withColumns({"text_crc32": utf8_crc32(text), "shard": shard_of(keys, splitters)})
-    order = Window.partitionBy("shard").orderBy("__text", "__doc")
-    return placed.withColumn("slot", F.row_number().over(order).cast("bigint") - 1).drop(*keys)
+    narrow = space.table(sized.select(*keys, "size"), "sizes")
+    splitters, _ = find_splitters(narrow, keys, "size", n_shards, tolerance, cut=cut)
+    # slots are numbered in two levels of about as many rows each: within a bucket, and over the buckets of a shard
+    bits = (narrow.count() // n_shards).bit_length() // 2
+    bucket = F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits) if bits else F.lit(0).cast("bigint")
+    placed = lambda df: df.withColumns({"shard": shard_of(keys, splitters), "bucket": bucket})
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed(narrow).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    counts = space.table(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before")), "counts")
+    space.drop(but=("counts",))
+    joined = join_groups(placed(sized.withColumn("text_crc32", utf8_crc32(text))), counts, ["shard", "bucket"], counts.count(), salt_by=keys)
+    inside = Window.partitionBy("shard", "bucket").orderBy(*keys)
+    return joined.withColumn("slot", F.col("__before") + F.row_number().over(inside) - 1).drop(*keys, "bucket", "__before")

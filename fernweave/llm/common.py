@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import ClassVar
 
@@ -31,12 +33,14 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, or what it becomes with underscores before it until no column is called so."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def kept_in_worker(name: str, key: object, make: Callable):
+    """What ``make()`` gave in this Python worker for ``key``, the latest one by that name.
+
+    Code comes to a worker by value with each task, so what is to outlive one is kept in a module made for it."""
+    kept = vars(sys.modules.setdefault("_fernweave_worker", types.ModuleType("_fernweave_worker")))
+    if name not in kept or kept[name][0] != key:
+        kept[name] = key, make()
+    return kept[name][1]
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -11,8 +11,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import kept_in_worker, shared_dir
 
 BLOCK = 256
 #: A file has about so many characters of text, or so many documents.
@@ -207,15 +205,6 @@ def _grown(array: np.ndarray, n: int) -> np.ndarray:
     return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
 
-def _kept_units(path: str) -> _Units:
-    """What this process has learnt so far.  Code comes to a worker by value with each task, so what is to outlive one is kept in a
-    module made for it."""
-    kept = vars(sys.modules.setdefault("_fernweave_worker", types.ModuleType("_fernweave_worker")))
-    if kept.get("path") != path:
-        kept.update(path=path, units=_Units(path))
-    return kept["units"]
-
-
 class UnitEncoder:
     """Encodes texts cut at blanks and line feeds; the tokenizers library sees each distinct unit once, until too many are remembered.
 
@@ -224,7 +213,7 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str, added_tokens: bool = False) -> None:
-        self.units, self.added_tokens = _kept_units(path), added_tokens
+        self.units, self.added_tokens = kept_in_worker("units", path, lambda: _Units(path)), added_tokens
         self.odd = "|".join([_ODD, *(map(re.escape, self.units.added) if added_tokens else [])])
 
     def _numbers(self, units: list[str]) -> np.ndarray:

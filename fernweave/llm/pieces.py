@@ -21,11 +21,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_in_worker
+
 _UNIT = re.compile("\n| *[^ \n]+| +")
 #: Codes in the joined text: between units, and for characters that no piece has.
 _GAP, _OTHER = 0, 1
-#: Characters of new units that are indexed at once, units that a task remembers, pairs whose verdict it remembers.
-BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 19, 500_000, 2_000_000
+#: Characters of new units that are indexed at once, units that a worker remembers, pairs whose verdict it remembers.
+BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 19, 600_000, 2_000_000
 
 
 @dataclass
@@ -131,7 +133,8 @@ class Encoder:
         self.low = np.array([p for _, p in usable], f"U{self.depth}")
         self.high = np.array([p.ljust(self.depth, "\U0010ffff") for _, p in usable], f"U{self.depth}")
         self.sizes = np.array([len(p) for _, p in usable])
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of units; when it is half full, what it has is the older half
+        self.older: dict[str, bytes] = {}
         self.pair_keys, self.pair_values = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,9 +216,13 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; none for null and empty texts."""
         split = [_UNIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
-        if len(self.known) > KEPT_UNITS:
-            self.known.clear()
-        new = sorted({u for s in split for u in s if u not in self.known}, key=len)  # so that long ones are relaxed side by side
+        if len(self.known) > KEPT_UNITS // 2:
+            self.older, self.known = self.known, {}
+        new = {u for s in split for u in s if u not in self.known}
+        if self.older:
+            self.known.update({u: x for u in new if (x := self.older.get(u)) is not None})
+            new = {u for u in new if u not in self.known}
+        new = sorted(new, key=len)  # so that long ones are relaxed side by side
         low = 0
         while low < len(new):
             high, size = low, 0
@@ -246,10 +253,10 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        vocabulary = Vocabulary(*shared.value)
-        encoder = Encoder(vocabulary)
+        encoder = kept_in_worker("pieces", model_file, lambda: Encoder(Vocabulary(*shared.value)))
+        vocabulary = encoder.v
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_numpy(zero_copy_only=False)]
             ids = encoder.encode(texts)
             back = [decode(vocabulary, x) for x in ids]
             sizes = np.cumsum([0, *(len(x) // 4 for x in ids)])

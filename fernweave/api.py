@@ -11,6 +11,7 @@ new version of the store, or none.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -69,14 +70,26 @@ class Engine:
                 return {ID: collection.delete(document_id(body))}
         raise UnknownModel(f"{model}/{action}")
 
-    def _commit(self, build: Callable[[Manifest], _Change]) -> object:
+    def compact(self, *names: str) -> None:
+        """Rewrite tables and edge sets, by default all, as one segment each, in files that are sorted by id."""
+        def build(manifest: Manifest) -> _Change:
+            many = {n: x for n, x in manifest.segments.items() if len(x) > 1 and (not names or n in names)}
+            rows = {n: self.store.frame(manifest, n) for n in many}
+            return _Change({n: self.store.write(n, df.repartitionByRange(df.columns[0]).sortWithinPartitions(*df.columns[: 1 + ("." in n)])) for n, df in rows.items()}, {}, None)
+
+        self._commit(build)
+
+    def _commit(self, build: Callable[[Manifest], _Change], once: tuple[str, int] | None = None) -> object:
+        """``once``: a stream and the number of its batch; None is answered if that has been added already."""
         if self.store is None:
             raise EngineError("bound tables are read only")
         for left in range(RETRIES, -1, -1):
             manifest = self.store.manifest()
+            if once and manifest.applied.get(once[0], -1) >= once[1]:
+                return None
             change = build(manifest)
             try:
-                self.store.commit(manifest.changed(change.segments, change.high_water))
+                self.store.commit(manifest.changed(change.segments, change.high_water, dict([once]) if once else None))
                 return change.answer
             except ConcurrentModification:
                 if not left:
@@ -119,9 +132,11 @@ class Collection:
 
     # ---- batches
 
-    def insert_rows(self, rows: DataFrame) -> DataFrame:
-        """Add rows shaped like the model's table, without ids; the rows that were added, with theirs."""
-        return self.engine._commit(lambda manifest: self._insert_rows(manifest, rows))
+    def insert_rows(self, rows: DataFrame, once: tuple[str, int] | None = None) -> DataFrame | None:
+        """Add rows shaped like the model's table, without ids; the rows that were added, with theirs.
+
+        ``once``: the name of a stream and the number of its batch; a batch that has been added is not added again."""
+        return self.engine._commit(lambda manifest: self._insert_rows(manifest, rows), once)
 
     def update_rows(self, patches: DataFrame) -> int:
         """Apply patches as :func:`fernweave.operators.mutate.patch` takes them; their number."""
@@ -197,28 +212,44 @@ class Collection:
                 state = mutate.upsert_items(state, self.name, name, requests)
             return state
 
-        segments = self._rewritten(manifest, id_, id_, change) if sets or items else {}
+        segments = self._rewritten(manifest, self._holding(manifest, self.name, id_), change) if sets or items else {}
         owner = self.engine.spark.createDataFrame([(id_,)], "id long")
         for name, ids in document.edges.items():
             edge_set, backwards = self.engine.schema.edges_of(self.block, self.block[name])
-            state = State(self.engine.schema, {}, {edge_set: self._store.frame(manifest, edge_set)})
+            old = manifest.segments.get(edge_set, [])
+            touched = old if backwards else self._holding(manifest, edge_set, id_)  # segments know the range of their src
+            state = State(self.engine.schema, {}, {edge_set: self._store.frame(Manifest(segments={edge_set: touched}), edge_set)})
             pairs = self.engine.spark.createDataFrame([(id_, x) for x in ids], "owner long, other long")
-            segments[edge_set] = self._store.write(edge_set, mutate.replace_edges(state, edge_set, owner, pairs, backwards).edges[edge_set])
+            new = self._store.write(edge_set, mutate.replace_edges(state, edge_set, owner, pairs, backwards).edges[edge_set])
+            segments[edge_set] = [*(s for s in old if s not in touched), *new]
         return _Change(segments, high_water, id_)
 
-    def _rewritten(self, manifest: Manifest, low: int, high: int, change: Callable[[State], State]) -> dict[str, list[Segment]]:
-        """Segments of this model after a change to rows with ids from ``low`` to ``high``."""
-        old = manifest.segments.get(self.name, [])
-        kept = [s for s in old if s.high < low or s.low > high]
-        part = State(self.engine.schema, {self.name: self._store.frame(manifest, self.name, low, high)})
+    @staticmethod
+    def _holding(manifest: Manifest, name: str, ids: int | DataFrame) -> list[Segment]:
+        """The segments that may hold an id, or some of a frame's.  Of a frame only the numbers of the ranges between the segments'
+        ends that it hits are gathered, so there are at most twice as many as segments."""
+        segments = manifest.segments.get(name, [])
+        if isinstance(ids, int):
+            return [s for s in segments if s.low <= ids <= s.high]
+        ends = sorted({x for s in segments for x in (s.low, s.high + 1)})
+        if not ends:
+            return []
+        number = F.size(F.filter(F.array(*map(F.lit, ends)), lambda x: x <= F.col(ID)))
+        hit = {ends[r[0] - 1] for r in ids.select(number.alias("n")).distinct().collect() if r[0]}
+        return [s for s in segments if any(s.low <= x <= s.high for x in hit)]
+
+    def _rewritten(self, manifest: Manifest, touched: list[Segment], change: Callable[[State], State]) -> dict[str, list[Segment]]:
+        """Segments of this model after a change to rows of those that are ``touched``."""
+        kept = [s for s in manifest.segments.get(self.name, []) if s not in touched]
+        part = State(self.engine.schema, {self.name: self._store.frame(Manifest(segments={self.name: touched}), self.name)})
         return {self.name: [*kept, *self._store.write(self.name, change(part).tables[self.name])]}
 
     def _insert_rows(self, manifest: Manifest, rows: DataFrame) -> _Change:
         state, after = self._store.state(manifest), manifest.high_water.get(self.name, 0)
         shaped = mutate._shaped(state, self.name, rows.drop(ID).withColumn(ID, F.lit(None).cast("bigint"))).drop(ID)
-        place = f"{self._store.path}/data/staged/{self.name}-{manifest.version}-{id(rows)}"
-        shaped.write.mode("overwrite").parquet(place)  # so that the partitions, and with them the ids, stay as they are
-        staged = self.engine.spark.read.schema(shaped.schema).parquet(place)
+        place = f"data/staged/{self.name}-{uuid.uuid4().hex}"
+        shaped.write.parquet(f"{self._store.path}/{place}")  # so that the partitions, and with them the ids, stay as they are
+        staged = self.engine.spark.read.schema(shaped.schema).parquet(f"{self._store.path}/{place}")
         numbered = mutate.number_rows(staged, after).select(*state.tables[self.name].columns)
         self._reject(state, numbered)
         new = self._store.write(self.name, numbered)
@@ -226,6 +257,7 @@ class Collection:
         for f in self.block.of_kind("struct_list"):
             most = numbered.select(F.explode(f.name).alias("x")).agg(F.max("x.id")).first()[0]
             high_water[f"{self.name}.{f.name}"] = max(manifest.high_water.get(f"{self.name}.{f.name}", 0), most or 0)
+        self._store.remove(place)
         frame = self._store.frame(Manifest(segments={self.name: new}), self.name)
         return _Change({self.name: [*manifest.segments.get(self.name, []), *new]}, high_water, frame)
 
@@ -238,18 +270,18 @@ class Collection:
         if absent := mutate.missing(state, self.name, patches).head(1):
             raise ItemNotFound(absent[0][0])
         self._reject(state, patches)
-        n, low, high = patches.agg(F.count("*"), F.min(ID), F.max(ID)).first()
-        return _Change(self._rewritten(manifest, low, high, lambda s: mutate.patch(s, self.name, patches)) if n else {}, {}, n)
+        n, touched = patches.count(), self._holding(manifest, self.name, patches)
+        return _Change(self._rewritten(manifest, touched, lambda s: mutate.patch(s, self.name, patches)) if n else {}, {}, n)
 
     def _delete(self, manifest: Manifest, ids: DataFrame, only: int | None, on_delete: str) -> _Change:
         state = self._store.state(manifest)
         if only is not None and not self._store.frame(manifest, self.name, only, only).where(F.col(ID) == only).head(1):
             raise ItemNotFound(only)
         new = mutate.delete(state, self.name, ids, on_delete)
-        low, high = ids.agg(F.min(ID), F.max(ID)).first()
-        if low is None:
+        touched = self._holding(manifest, self.name, ids if only is None else only)
+        segments = self._rewritten(manifest, touched, lambda s: State(s.schema, mutate.delete(s, self.name, ids).tables)) if touched else {}
+        if not touched:
             return _Change({}, {}, only)
-        segments = self._rewritten(manifest, low, high, lambda s: State(s.schema, mutate.delete(s, self.name, ids).tables))
         for name, edges in new.edges.items():
             if edges is not state.edges[name] and manifest.segments.get(name):
                 segments[name] = self._store.write(name, edges)

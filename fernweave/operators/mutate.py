@@ -85,10 +85,12 @@ def upsert_items(state: State, model: str, name: str, requests: DataFrame) -> St
     kind = table.schema[name].dataType
     joined = table.join(requests.select(F.col(ID).alias("__p"), F.col("items").cast(kind).alias("__items")), F.col(ID) == F.col("__p"), "left")
     old, new = F.coalesce(F.col(name), F.array().cast(kind)), F.col("__items")
-    kept = F.array_except(F.transform(old, lambda x: x[ID]), F.transform(new, lambda x: x[ID]))
-    merged = F.concat(F.filter(old, lambda x: F.array_contains(kept, x[ID])), new)
-    ordered = F.array_sort(merged, lambda a, b: F.when(a[ID] < b[ID], -1).when(a[ID] > b[ID], 1).otherwise(0))
-    value = F.when(new.isNull(), F.col(name)).when(F.size(new) == 0, F.array().cast(kind)).otherwise(ordered)
+    # sorted by id, an old item before the new one that takes its place
+    tagged = [F.transform(x, lambda i, n=n: F.struct(i[ID].alias(ID), F.lit(n).alias("new"), i.alias("item"))) for n, x in enumerate((old, new))]
+    by_id = lambda a, b: F.when((a[ID] < b[ID]) | ((a[ID] == b[ID]) & (a["new"] < b["new"])), -1).when((a[ID] == b[ID]) & (a["new"] == b["new"]), 0).otherwise(1)
+    last = lambda s: F.filter(s, lambda x, i: (i + 1 == F.size(s)) | (s[F.least(i + 1, F.size(s) - 1)][ID] != x[ID]))
+    merged = F.transform(F.array(F.array_sort(F.concat(*tagged), by_id)), last)[0]
+    value = F.when(new.isNull(), F.col(name)).when(F.size(new) == 0, F.array().cast(kind)).otherwise(F.transform(merged, lambda x: x["item"]))
     return state.changed({model: joined.select(*(value.alias(name) if c == name else F.col(c) for c in table.columns))})
 
 
@@ -104,8 +106,8 @@ def replace_edges(state: State, edge_set: str, owners: DataFrame, pairs: DataFra
 
 
 def delete(state: State, model: str, ids: DataFrame, on_delete: str = "detach") -> State:
-    """Rows go with their structs and edges.  Keys that refer to them stay and read as null, or, with ``on_delete`` 'restrict',
-    forbid it.  Ids without a row do nothing."""
+    """Rows go with their structs and edges.  Keys that refer to them stay and read as null; with ``on_delete`` 'restrict', keys and
+    lists of other rows that refer to them forbid it.  Ids without a row do nothing."""
     gone = ids.select(F.col(ID).alias("__gone")).distinct()
     if on_delete == "restrict":
         for other in state.schema.models.values():
@@ -117,6 +119,14 @@ def delete(state: State, model: str, ids: DataFrame, on_delete: str = "detach")
                 rows = state.tables[other.name] if other.name != model else state.tables[model].join(gone, F.col(ID) == F.col("__gone"), "left_anti")
                 if rows.select(key.alias("__key")).join(gone, F.col("__key") == F.col("__gone"), "left_semi").head(1):
                     raise RestrictedDelete(f"{other.name}.{path} refers to it")
+        for name, f in state.schema.edge_sets().items():
+            if f.type != model or name not in state.edges:
+                continue
+            held = state.edges[name].join(gone, F.col("dst") == F.col("__gone"), "left_semi")
+            if name.partition(".")[0] == model:  # lists that go themselves forbid nothing
+                held = held.join(gone, F.col("src") == F.col("__gone"), "left_anti")
+            if held.head(1):
+                raise RestrictedDelete(f"{name} refers to it")
     tables = {model: state.tables[model].join(gone, F.col(ID) == F.col("__gone"), "left_anti")}
     edges = {}
     for name, f in state.schema.edge_sets().items():

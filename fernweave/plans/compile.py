@@ -80,7 +80,8 @@ class _Compiler:
         target, table = self.schema.block(f), self.state.tables[f.type]
         parents = keep.select(key).distinct() if keep is not None else None
         if f.kind == "ref" and f.derived is None:
-            child = self.node(table, target, sub)
+            named = keep.select(F.col(prefix + f.name)).distinct() if keep is not None else None
+            child = self.node(table, target, sub, within=(ID, named) if named is not None else None)
             df = df.join(child.df, F.col(prefix + f.name) == F.col(child.key), "left")
             return df, F.when(F.col(child.key).isNotNull(), F.col(child.out))
         edges = self.schema.edges_of(block, f) if f.kind == "ref_list" else None
@@ -94,7 +95,7 @@ class _Compiler:
             rows = self.state.edges[edges[0]].select(F.col(src).alias(f"{e}src"), F.col(dst).alias(f"{e}dst"))
             if parents is not None:
                 rows = rows.join(parents.withColumnRenamed(key, f"{e}in"), F.col(f"{e}src") == F.col(f"{e}in"), "left_semi")
-            child = self.node(table, target, sub)
+            child = self.node(table, target, sub, within=(ID, rows.select(f"{e}dst").distinct()) if parents is not None else None)
             rows, owner = rows.join(child.df, F.col(f"{e}dst") == F.col(child.key)), f"{e}src"
         if f.kind == "ref":  # the inverse of a key, to one: the child of least id
             grouped = rows.groupBy(F.col(owner).alias(f"{prefix}{f.name}_of")).agg(F.min_by(child.out, child.key).alias(f"{prefix}{f.name}"))

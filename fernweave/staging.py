@@ -6,11 +6,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import EngineError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset, as in tests, a folder of our own, which only a session on one machine shares."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise EngineError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(spark.sparkContext, "_fernweave_dir", None)
     if own is None:
         own = spark.sparkContext._fernweave_dir = tempfile.mkdtemp(prefix="fernweave-")

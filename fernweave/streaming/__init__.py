@@ -11,14 +11,15 @@ from ..schema import ID
 
 
 def insert_stream(collection: Collection, rows: DataFrame, checkpoint: str) -> DataStreamWriter:
-    """A writer that adds each micro-batch of a streaming frame as one version; empty ones make none.
+    """A writer that adds each micro-batch of a streaming frame as one version, once; empty ones make none.
 
-    A batch that a failed run repeats is added again: the source should be one that is keyed, or a later patch should follow.
+    The store keeps the number of the last batch under the name of the checkpoint, so one that a failed run repeats is not added
+    again.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         if batch.head(1):
-            collection.insert_rows(batch)
+            collection.insert_rows(batch, once=(checkpoint, number))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 

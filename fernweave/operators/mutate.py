@@ -6,6 +6,8 @@ the data to every executor unless Spark itself finds it small.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,10 @@ def patch(state: State, model: str, patches: DataFrame) -> State:
     return state.changed({model: joined.select(*out)})
 
 
+def _tagged(n: int, item: Column) -> Column:
+    return F.struct(item[ID].alias(ID), F.lit(n).alias("new"), item.alias("item"))
+
+
 def upsert_items(state: State, model: str, name: str, requests: DataFrame) -> State:
     """Struct list ``name``: ``requests`` has id and ``items``, whose ids are all given.  An item with the id of an old one
     takes its place as a whole, others are added, and an empty array clears the list.  A null array does nothing.
@@ -86,7 +92,7 @@ def upsert_items(state: State, model: str, name: str, requests: DataFrame) -> St
     joined = table.join(requests.select(F.col(ID).alias("__p"), F.col("items").cast(kind).alias("__items")), F.col(ID) == F.col("__p"), "left")
     old, new = F.coalesce(F.col(name), F.array().cast(kind)), F.col("__items")
     # sorted by id, an old item before the new one that takes its place
-    tagged = [F.transform(x, lambda i, n=n: F.struct(i[ID].alias(ID), F.lit(n).alias("new"), i.alias("item"))) for n, x in enumerate((old, new))]
+    tagged = [F.transform(x, partial(_tagged, n)) for n, x in enumerate((old, new))]
     by_id = lambda a, b: F.when((a[ID] < b[ID]) | ((a[ID] == b[ID]) & (a["new"] < b["new"])), -1).when((a[ID] == b[ID]) & (a["new"] == b["new"]), 0).otherwise(1)
     last = lambda s: F.filter(s, lambda x, i: (i + 1 == F.size(s)) | (s[F.least(i + 1, F.size(s) - 1)][ID] != x[ID]))
     merged = F.transform(F.array(F.array_sort(F.concat(*tagged), by_id)), last)[0]

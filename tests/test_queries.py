@@ -6,6 +6,7 @@ import re
 import duckdb
 import pytest
 
+import fernweave.stored  # noqa: F401  adds its queries
 from fernweave.plans.compile import State, find_many, to_json_rows
 from fernweave.schema import parse_schema
 from fernweave.warehouse import ORACLES, QUERIES, flagship
@@ -48,6 +49,19 @@ def test_condition_reaches_the_scan(spark):
     assert "EqualTo(c_custkey,5)" in plan and "EqualTo(o_custkey,5)" in plan
 
 
+def test_condition_reaches_targets(spark):
+    """Targets of a key and of a list are read for the rows that are left alone: their tables are joined to the keys that these name."""
+    from fernweave.warehouse import sample_state
+
+    state = sample_state(spark, SF, "Customer", "Order", "Part", "Supplier")
+    for model, select, key in (("Order", {"customer": {"name": True}}, "c_custkey"), ("Part", {"suppliers": {"name": True}}, "s_suppkey")):
+        plan = find_many(state, model, select, where="id = 5")._jdf.queryExecution().optimizedPlan().toString()
+        semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+        assert any(re.search(rf"{key}#\d+L? = n\d+_in", line) for line in semi)
+    order = find_many(state, "Order", {"id": True, "customer": {"id": True}}, where="id % 100 = 3").collect()
+    assert order and all(r.customer is not None for r in order)
+
+
 SCHEMA = """
 model A {
   x   Int

@@ -60,7 +60,7 @@ def s_insert_rows(spark, sf_dir):
     e.model("Customer").insert_rows(spark.read.parquet(f"{sf_dir}/customer.parquet").repartition(5).select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")))
     found = e.model("Customer").find_many({"id": True, "name": True, "balance": True})
     ids = found.agg(F.max(ID).alias("highest"), ((F.min(ID) == 1) & (F.max(ID) == F.count_distinct(ID)) & (F.count("*") == F.max(ID))).alias("numbered")).first()
-    return found.select("name", "balance", F.lit(ids["highest"]).alias("highest"), F.lit(ids["numbered"]).alias("numbered"))
+    return found.select("name", "balance", F.lit(ids["highest"]).cast("bigint").alias("highest"), F.lit(ids["numbered"]).alias("numbered"))
 
 
 @query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, CASE WHEN n_nationkey < 10 THEN NULL WHEN n_nationkey = 20 THEN 'renamed' ELSE n_name END AS name, CASE WHEN n_nationkey = 20 THEN NULL WHEN n_nationkey % 2 = 0 AND n_nationkey < 10 THEN 2 ELSE CAST(n_regionkey + 1 AS BIGINT) END AS region_id FROM nation")

@@ -18,8 +18,10 @@ from .common import WORD_GAP, Workspace, checkpointed, join_groups, let, text_or
 
 #: Transformed statistics, with the least scale each is given (in natural-log units), for groups where it hardly varies.
 #: They are so small that where the centre is 0, each share alone can pass the limit: symbols beyond 6 %, duplicate lines beyond
-#: 30 % and repeated words beyond 13 %, of which the base rule leaves up to 20 %.
-STATISTICS = {"word_length": 0.08, "symbol_share": 0.7, "dup_line_share": 0.58, "repeat_share": 0.45}
+#: 27 % and repeated words beyond 12 %, of which the base rule leaves up to 20 %.
+STATISTICS = {"word_length": 0.08, "symbol_share": 0.7, "dup_line_share": 0.65, "repeat_share": 0.5}
+#: A line that stands again brings repeated words, so the least scales of these two (by number) go together, with this correlation.
+TOGETHER, CORRELATION = (3, 2), 0.5
 GROUP = ["lang", "source"]
 #: What an estimate is made of: 0 a language's source, 1 a language (source null), 2 all rows (both null).
 FIT = ["level", "fit_lang", "fit_source"]
@@ -99,18 +101,29 @@ def _levels(stats: DataFrame, min_rows: int) -> tuple[DataFrame, int]:
     return checkpointed(join_groups(groups, langs, ["lang"], langs.count()).select(*GROUP, level.alias("level"))), groups.count()
 
 
-def _estimates(kept: DataFrame, names: list[str], floors: list[float], keys: list[str]) -> DataFrame:
-    """Per group of ``keys``: n, centre m_i, and the Cholesky factor l_i_j of the scatter, whose diagonal gets the least scales added."""
-    d = range(len(names))
-    sums = kept.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(names[i]).alias(f"s_{i}") for i in d), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)))
-    out = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in d})
-    out = out.withColumns({f"c_{i}_{j}": F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}") + F.lit((1000 * floors[i]) ** 2 if i == j else 0.0) for i in d for j in range(i + 1)})
+def _least_scatter(floors: list[float], i: int, j: int) -> float:
+    """In the units of the stored statistics."""
+    return 1e6 * floors[i] * floors[j] * (1.0 if i == j else CORRELATION if (i, j) == TOGETHER else 0.0)
+
+
+def _factored(scattered: DataFrame, d: range) -> DataFrame:
+    """Columns l_i_j: the Cholesky factor of the scatter c_i_j."""
+    out = scattered
     for i in d:
         for j in range(i + 1):
             rest = F.col(f"c_{i}_{j}")
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l_{j}_{j}"))
+    return out.drop(*(f"c_{i}_{j}" for i in d for j in range(i + 1)))
+
+
+def _estimates(kept: DataFrame, names: list[str], floors: list[float], keys: list[str]) -> DataFrame:
+    """Per group of ``keys``: n, centre m_i, and the Cholesky factor l_i_j of the scatter, to which the least scatter is added."""
+    d = range(len(names))
+    sums = kept.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(names[i]).alias(f"s_{i}") for i in d), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)))
+    out = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in d})
+    out = _factored(out.withColumns({f"c_{i}_{j}": F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}") + F.lit(_least_scatter(floors, i, j)) for i in d for j in range(i + 1)}), d)
     return out.select(*keys, "n", *(f"m_{i}" for i in d), *(f"l_{i}_{j}" for i in d for j in range(i + 1)), sum((F.log(f"l_{i}_{i}") for i in d), F.lit(0.0)).alias("log_det"))
 
 
@@ -135,8 +148,8 @@ def reject_outliers(docs: DataFrame, h: float = 0.75, p: float = 0.9999, min_row
     medians = checkpointed(rows.groupBy(*FIT).agg(F.count("*").alias("rows"), *(F.percentile(n, F.lit(0.5)).alias(f"m_{i}") for i, n in enumerate(names))))
     n_groups = medians.count()
     spread = join_groups(rows, medians, FIT, n_groups).groupBy(*FIT).agg(F.max("rows").alias("n"), *(F.max(f"m_{i}").alias(f"m_{i}") for i in d), *(F.percentile(F.abs(F.col(n) - F.col(f"m_{i}")), F.lit(0.5)).alias(f"mad_{i}") for i, n in enumerate(names)))
-    scale = {f"l_{i}_{j}": F.sqrt((1.4826 * F.col(f"mad_{i}")) ** 2 + (1000 * floors[i]) ** 2) if i == j else F.lit(0.0) for i in d for j in range(i + 1)}
-    first, second = spread.withColumns(scale).drop(*(f"mad_{i}" for i in d)), _estimates(rows, names, floors, FIT).drop("log_det")
+    wide = spread.withColumns({f"c_{i}_{j}": ((1.4826 * F.col(f"mad_{i}")) ** 2 if i == j else F.lit(0.0)) + F.lit(_least_scatter(floors, i, j)) for i in d for j in range(i + 1)})
+    first, second = _factored(wide.drop(*(f"mad_{i}" for i in d)), d), _estimates(rows, names, floors, FIT).drop("log_det")
     starts = first.withColumn("start", F.lit(0)).unionByName(second.withColumn("start", F.lit(1)))
     model = space.table(starts.withColumns({"log_det": F.lit(math.inf), "lower": F.lit(True)}), "model-0")
 

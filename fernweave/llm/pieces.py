@@ -26,8 +26,9 @@ from .common import kept_in_worker
 _UNIT = re.compile("\n| *[^ \n]+| +")
 #: Codes in the joined text: between units, and for characters that no piece has.
 _GAP, _OTHER = 0, 1
-#: Characters of new units that are indexed at once, units that a worker remembers, pairs whose verdict it remembers.
-BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 19, 600_000, 2_000_000
+#: Bytes of texts that are looked at together, characters of new units that are indexed at once, units that a worker remembers, and
+#: pairs whose verdict it remembers.
+TEXT_BYTES, BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 20, 1 << 18, 400_000, 2_000_000
 
 
 @dataclass
@@ -251,18 +252,27 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(v, f.name) for f in fields(v) if f.init))  # plain values, whatever the input
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        import pyarrow.compute as pc
 
         encoder = kept_in_worker("pieces", model_file, lambda: Encoder(Vocabulary(*shared.value)))
-        vocabulary = encoder.v
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_numpy(zero_copy_only=False)]
-            ids = encoder.encode(texts)
-            back = [decode(vocabulary, x) for x in ids]
-            sizes = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            crc = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back]
-            yield pa.record_batch([batch.column("doc_id"), lists, pa.array(np.diff(sizes)), pa.array(crc, pa.int64()), pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())], names=["doc_id", "ids", "n_tokens", "decoded_crc32", "lossless"])
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+            low = 0
+            while low < len(upto):
+                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + TEXT_BYTES, side="right")))
+                yield part(encoder, batch.slice(low, high - low))
+                low = high
+
+    def part(encoder: Encoder, batch):
+        import pyarrow as pa
+
+        texts = [t or "" for t in batch.column("text").to_numpy(zero_copy_only=False)]
+        ids = encoder.encode(texts)
+        back = [decode(encoder.v, x) for x in ids]
+        sizes = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        crc = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back]
+        return pa.record_batch([batch.column("doc_id"), lists, pa.array(np.diff(sizes)), pa.array(crc, pa.int64()), pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())], names=["doc_id", "ids", "n_tokens", "decoded_crc32", "lossless"])
 
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, lossless boolean")

@@ -28,7 +28,7 @@ _UNIT = re.compile("\n| *[^ \n]+| +")
 _GAP, _OTHER = 0, 1
 #: Bytes of texts that are looked at together, characters of new units that are indexed at once, units that a worker remembers, and
 #: pairs whose verdict it remembers.
-TEXT_BYTES, BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 20, 1 << 18, 400_000, 2_000_000
+TEXT_BYTES, BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 22, 1 << 18, 400_000, 2_000_000
 
 
 @dataclass
@@ -134,8 +134,8 @@ class Encoder:
         self.low = np.array([p for _, p in usable], f"U{self.depth}")
         self.high = np.array([p.ljust(self.depth, "\U0010ffff") for _, p in usable], f"U{self.depth}")
         self.sizes = np.array([len(p) for _, p in usable])
-        self.known: dict[str, bytes] = {}  # of units; when it is half full, what it has is the older half
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # units met since they were learnt, or since the last sweep
         self.pair_keys, self.pair_values = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,12 +217,12 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; none for null and empty texts."""
         split = [_UNIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
-        if len(self.known) > KEPT_UNITS // 2:
-            self.older, self.known = self.known, {}
-        new = {u for s in split for u in s if u not in self.known}
-        if self.older:
-            self.known.update({u: x for u in new if (x := self.older.get(u)) is not None})
-            new = {u for u in new if u not in self.known}
+        units = set().union(*split)
+        new = units.difference(self.known)
+        self.again |= units.difference(new)
+        if len(self.known) + len(new) > KEPT_UNITS:  # forget those that weren't met again, or most if that leaves too many
+            kept = self.again if len(self.again) <= KEPT_UNITS // 2 else units.difference(new)
+            self.known, self.again = {u: self.known[u] for u in kept}, set()
         new = sorted(new, key=len)  # so that long ones are relaxed side by side
         low = 0
         while low < len(new):

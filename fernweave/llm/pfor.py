@@ -14,7 +14,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -25,11 +24,17 @@ from .common import kept_in_worker, shared_dir
 BLOCK = 256
 #: A file has about so many characters of text, or so many documents.
 FILE_CHARS, FILE_DOCS = 1 << 22, 1 << 16
-#: Characters of new units that are tokenized at once, and the units whose ids a worker remembers.
-JOINED_CHARS, KEPT_UNITS = 1 << 14, 600_000
+#: Bytes of new units that are tokenized at once, and the units whose ids a worker remembers.
+JOINED_BYTES, KEPT_UNITS = 1 << 14, 1_000_000
+#: Units of fewer bytes than this are remembered; marks that are cut from a unit's end are so many bytes at most.
+KEY_BYTES, TAIL_BYTES = 24, 8
 #: A single blank between two characters that aren't white space always begins a pre-token, so texts may be cut there, and a line
 #: feed is one by itself unless it ends a text or a run of three.  Texts with any of this go to the library whole:
 _ODD = "^ |  | $| \n|\n |\n\n\n|\n\n$|[\t\v\f\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: By byte: the ASCII characters that are no letter, digit, white space or control character; letters and digits; the numbers with as many low bytes set.
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+_SURE = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _HEAD = "<4sHHIQI"
 _MAGIC = b"FWPF"
 _POWERS = 1 << np.arange(32, dtype=np.uint64)
@@ -149,7 +154,11 @@ class File:
 
 
 class _Units:
-    """A tokenizer and the ids of units: those of unit i are ``ids[ends[i] : ends[i + 1]]``."""
+    """A tokenizer and the ids of units: those of unit i are ``ids[ends[i] : ends[i + 1]]``.
+
+    A unit's key is its bytes in three numbers, the last of which also has their count and whether the unit is a tail; ``slots`` is a
+    hash table of the keys, probed for all units of a file at once.  Longer units aren't remembered.
+    """
 
     def __init__(self, path: str) -> None:
         import tokenizers
@@ -160,7 +169,7 @@ class _Units:
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)  # byte-level: a character for each byte
-        self.number: dict[str, int] = {}
+        self.slots, self.keys = np.full(1 << (4 * KEPT_UNITS - 1).bit_length(), -1, np.int32), np.zeros((1 << 18, 3), np.uint64)
         self.ids, self.ends, self.n = np.zeros(1 << 20, "<u4"), np.zeros(1 << 18, np.int64), 0
         self.again = np.zeros(1 << 18, bool)  # met since it was learnt, or since the last sweep
 
@@ -168,41 +177,129 @@ class _Units:
         """Forget the units that weren't met again, or all if that leaves too many."""
         if np.count_nonzero(self.again) > KEPT_UNITS // 2:
             self.again[:] = False
-        kept = [u for u, i in self.number.items() if self.again[i]]  # in the order of their numbers
         at = np.nonzero(self.again[: self.n])[0]
         size = (self.ends[1:] - self.ends[:-1])[at]
-        ids = self.ids[np.repeat(self.ends[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-        self.number, self.n = {}, 0
-        self.again[:] = False
-        self.add(kept, ids, size)
+        keys, ids = self.keys[at], _joined(self.ids, self.ends[at], size)
+        self.slots[:], self.again[:], self.n = -1, False, 0
+        self.add(keys, ids, size)
 
     def encoded(self, texts: list[str], added_tokens: bool = False) -> list[np.ndarray]:
         self.tokenizer.encode_special_tokens = not added_tokens  # their strings are then ordinary text
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first, n = int(self.ends[self.n]), len(units)
-        self.ids, self.ends, self.again = _grown(self.ids, first + len(ids)), _grown(self.ends, self.n + n + 1), _grown(self.again, self.n + n)
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = int(self.ends[self.n]), len(keys)
+        self.ids, self.ends, self.again, self.keys = _grown(self.ids, first + len(ids)), _grown(self.ends, self.n + n + 1), _grown(self.again, self.n + n), _grown(self.keys, self.n + n)
         self.ids[first : first + len(ids)], self.ends[self.n + 1 : self.n + n + 1] = ids, first + np.cumsum(sizes)
-        self.number.update(zip(units, range(self.n, self.n + n), strict=True))
+        self.keys[self.n : self.n + n] = keys
+        number, slot = np.arange(self.n, self.n + n, dtype=np.int32), self._slot(keys)
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]
+            rest = self.slots[slot] != number
+            number, slot = number[rest], (slot[rest] + 1) % len(self.slots)
         self.n += n
 
-    def learn(self, units: list[str]) -> None:
-        """Find the ids of new units, each with the blank before it unless it begins with a line feed.  They are joined for the
-        library, so that it makes few results, and told apart by the bytes of each id."""
-        parts = [u if u[0] == "\n" else f" {u}" for u in units]
-        data = np.frombuffer((joined := "".join(parts)).encode("utf-8", "surrogatepass"), np.uint8)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the units with these keys; -1 for those that aren't known."""
+        out, which, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slot(keys)
+        while len(which):
+            number = self.slots[slot]
+            known = number >= 0
+            which, slot, number = which[known], slot[known], number[known]
+            same = (self.keys[number] == keys[which]).all(axis=1)
+            out[which[same]] = number[same]
+            which, slot = which[~same], (slot[~same] + 1) % len(self.slots)
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(keys), np.uint64)
+        for column in keys.T:
+            h = (h + column) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - (len(self.slots) - 1).bit_length())).astype(np.int64)
+
+    def learnt(self, units: list[str], tails: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of units, each with the blank before it unless it begins with a line feed, or of tails, and how many each has.  Units
+        are joined for the library, so that it makes few results, and told apart by the bytes of each id."""
+        if tails or not units:
+            each = self.encoded(units)
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.array([*map(len, each)], np.int64)
+        joined = f" {' '.join(units)}".replace(" \n", "\n")  # units have line feeds at their begin alone, and no blanks
+        data = np.frombuffer(joined.encode(), np.uint8)
         ids = self.encoded([joined])[0]
         begin, ends = np.nonzero((data == 32) | (data == 10))[0], np.cumsum(self.size[ids])
         at = np.concatenate([[0], np.searchsorted(ends, begin[1:]) + 1, [len(ids)]])
         if len(begin) != len(units) or (ends[at[1:-1] - 1] != begin[1:]).any():
-            each = self.encoded(parts)
+            each = self.encoded([u if u[0] == "\n" else f" {u}" for u in units])
             ids, at = np.concatenate(each), np.cumsum([0, *map(len, each)])
-        self.add(units, ids, np.diff(at))
+        return ids, np.diff(at)
+
+    def lists(self, units, n_whole: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each unit, of an Arrow array of distinct ones, begin in ``ids`` and how many they are, until the next call;
+        those from ``n_whole`` on are tails."""
+        begin, data = _strings(units)
+        size = np.diff(begin)
+        keys, short = _keys(begin[:-1], size, data, n_whole), np.nonzero(size < KEY_BYTES)[0]
+        number = np.full(len(units), -1, np.int64)
+        number[short] = self.find(keys[short])
+        self.again[number[number >= 0]] = True
+        if self.n and self.n + np.count_nonzero(number[short] < 0) > KEPT_UNITS:
+            self.sweep()
+            number[short] = self.find(keys[short])
+        new = short[number[short] < 0][: KEPT_UNITS - self.n]
+        self.add(keys[new], *self._of(units, size, new, n_whole))
+        number[new] = np.arange(self.n - len(new), self.n)
+        known = number >= 0
+        start, count = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        start[known], count[known] = self.ends[number[known]], self.ends[number[known] + 1] - self.ends[number[known]]
+        rest, after = np.nonzero(~known)[0], int(self.ends[self.n])
+        ids, count[rest] = self._of(units, size, rest, n_whole)
+        start[rest] = after + np.cumsum(count[rest]) - count[rest]
+        self.ids = _grown(self.ids, after + len(ids))
+        self.ids[after : after + len(ids)] = ids  # behind those of the units, until the next are added
+        return start, count
+
+    def _of(self, units, size: np.ndarray, at: np.ndarray, n_whole: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units at these ascending places, and how many each has."""
+        parts, low, whole = [], 0, int(np.searchsorted(at, n_whole))
+        upto, names = np.cumsum(size[at]), units.take(at).to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist()
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + JOINED_BYTES, side="right")))
+            high = min(high, whole) if low < whole else high
+            parts.append(self.learnt(names[low:high], low >= whole))
+            low = high
+        return tuple(np.concatenate([np.zeros(0, kind), *some]) for kind, some in zip(("<u4", np.int64), zip(*parts, strict=True) if parts else ((), ()), strict=True))
+
+
+def _strings(array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string of an Arrow array of large strings begins, with the end of the last, and the bytes, with some behind."""
+    _, begin, data = array.buffers()
+    bytes_ = np.zeros((len(data) if data else 0) + KEY_BYTES, np.uint8)
+    if data:
+        bytes_[:-KEY_BYTES] = np.frombuffer(data, np.uint8)
+    return np.frombuffer(begin, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64), bytes_
+
+
+def _keys(begin: np.ndarray, size: np.ndarray, data: np.ndarray, n_whole: int) -> np.ndarray:
+    at_any = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = np.empty((len(begin), KEY_BYTES // 8), np.uint64)
+    for j in range(KEY_BYTES // 8):
+        out[:, j] = at_any[np.minimum(begin + 8 * j, len(at_any) - 1)] & _LOW_BYTES[np.clip(size - 8 * j, 0, 8)]
+    out[:, -1] |= size.astype(np.uint64) << np.uint64(56)  # below KEY_BYTES, where the key is used
+    out[n_whole:, -1] |= np.uint64(1 << 63)
+    return out
+
+
+def _joined(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The lists of these starts and sizes in ``pool``, one after another."""
+    upto = np.cumsum(size)
+    return pool[np.repeat(start - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)]
 
 
 def _grown(array: np.ndarray, n: int) -> np.ndarray:
-    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+    return array if n <= len(array) else np.concatenate([array, np.zeros((max(n, 2 * len(array)) - len(array), *array.shape[1:]), array.dtype)])
 
 
 class UnitEncoder:
@@ -216,24 +313,33 @@ class UnitEncoder:
         self.units, self.added_tokens = kept_in_worker("units", path, lambda: _Units(path)), added_tokens
         self.odd = "|".join([_ODD, *(map(re.escape, self.units.added) if added_tokens else [])])
 
-    def _numbers(self, units: list[str]) -> np.ndarray:
-        known = self.units
-        out = np.fromiter(map(known.number.get, units, repeat(-1)), np.int64, len(units))
-        known.again[out[out >= 0]] = True
-        at = np.nonzero(out < 0)[0]
-        if known.n + len(at) > KEPT_UNITS and known.n:
-            known.sweep()
-            return self._numbers(units)
-        out[at], low = known.n + np.arange(len(at)), 0
-        new = [units[i] for i in at.tolist()]
-        while low < len(new):
-            high, size = low, 0
-            while high < len(new) and (size == 0 or size + len(new[high]) <= JOINED_CHARS):
-                size += len(new[high])
-                high += 1
-            known.learn(new[low:high])
-            low = high
-        return out
+    def _distinct(self, units) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of distinct units, and how many each has.  Marks that end a unit, behind a letter or digit, are
+        pre-tokens of their own, so units that differ in these alone are looked up once."""
+        import pyarrow as pa
+
+        units = units.cast(pa.large_string())
+        (bounds, data), n = _strings(units), len(units)
+        begin, cut = bounds[:-1], bounds[1:].copy()
+        some = np.nonzero(cut > begin)[0]
+        for _ in range(TAIL_BYTES):
+            some = some[_MARK[data[cut[some] - 1]]]
+            cut[some] -= 1
+            some = some[cut[some] > begin[some]]
+        last, before = data[cut - 1], data[cut - 2]
+        sure = _SURE[last] | (last >= 0x80) & (before == 0xC3) & (last != 0x97) & (last != 0xB7)  # U+00C0 to U+00FF but U+00D7 and U+00F7
+        cut = np.where(sure & (cut > begin), cut, bounds[1:])
+        tailed = np.nonzero(cut < bounds[1:])[0]
+        both = np.empty(2 * n + 1, np.int64)
+        both[0::2], both[1::2] = bounds, cut
+        pieces = pa.LargeStringArray.from_buffers(2 * n, pa.py_buffer(both), pa.py_buffer(data))
+        whole, tails = (pieces.take(pa.array(at)).dictionary_encode() for at in (np.arange(0, 2 * n, 2), 2 * tailed + 1))
+        start, size = self.units.lists(pa.concat_arrays([whole.dictionary, tails.dictionary]), len(whole.dictionary))
+        row = np.zeros((n, 2), np.int64)
+        row[:, 0], row[tailed, 1] = whole.indices.to_numpy(), len(whole.dictionary) + tails.indices.to_numpy()
+        taken = size[row]
+        taken[cut == bounds[1:], 1] = 0
+        return _joined(self.units.ids, start[row].ravel(), taken.ravel()), taken.sum(axis=1)
 
     def encode(self, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, an Arrow array of strings without nulls, and all ids; each text's end with ``end_id``."""
@@ -248,30 +354,29 @@ class UnitEncoder:
         rest[np.cumsum(n) - n] = False  # a text's first unit has no blank before it
         whole = self.units.encoded(flat.filter(pa.array(~rest)).to_pylist())
         coded = flat.filter(pa.array(rest)).dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())  # far faster than to_pylist()
         whole += self.units.encoded(broken, self.added_tokens)
         whole.append(np.array([] if end_id is None else [end_id], "<u4"))
 
         # lists of ids: those of the distinct units, then those of first units, of whole texts, and the end
-        ends, after = self.units.ends, int(self.units.ends[self.units.n])
-        begin = after + np.cumsum([0, *map(len, whole)])
-        self.units.ids = pool = _grown(self.units.ids, int(begin[-1]))
-        pool[after : begin[-1]] = np.concatenate(whole)  # behind those of the units, until the next are added
-        start, size = np.concatenate([ends[numbers], begin[:-1]]), np.concatenate([ends[numbers + 1] - ends[numbers], np.diff(begin)])
+        ids, size = self._distinct(coded.dictionary)
+        n_units, size = len(size), np.concatenate([size, [*map(len, whole)]])
+        ends = 4 * np.concatenate([[0], np.cumsum(size)])
+        lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([ids, *whole]).astype("<u4", copy=False))])
         # for each text, whether of units or whole, the lists that it is made of, and the end
         of = np.zeros(len(texts), np.int64)
         of[~odd], of[odd] = n + 1, 2
         last = np.cumsum(of)
         row = np.full(int(of.sum()), len(size) - 1)
         first = last - of
-        row[first[~odd]], row[first[odd]] = len(numbers) + np.arange(len(n)), len(numbers) + len(n) + np.arange(len(broken))
+        row[first[~odd]], row[first[odd]] = n_units + np.arange(len(n)), n_units + len(n) + np.arange(len(broken))
         inner = np.ones(len(row), bool)
         inner[first] = inner[last - 1] = False
         row[inner] = coded.indices.to_numpy()
-        taken = size[row]
-        upto = np.cumsum(taken)
-        ids = pool[np.repeat(start[row] - (upto - taken), taken) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        return np.add.reduceat(taken, first) if len(first) else taken, ids
+        if not len(first):
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
+        _, ends, data = lists.take(pa.array(row)).buffers()
+        n_bytes = int(np.frombuffer(ends, np.int64)[len(row)])
+        return np.add.reduceat(size[row], first), np.frombuffer(data, "<u4", n_bytes // 4) if n_bytes else np.zeros(0, "<u4")
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, added_tokens: bool = False) -> None:

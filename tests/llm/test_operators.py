@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernweave.llm import minhash
+from fernweave.llm import pfor
 from fernweave.llm import queries as Q
 from fernweave.llm.common import tokenizer_path
 from fernweave.llm.licenses import parse_expression, scan_licenses
@@ -236,6 +237,43 @@ def test_units_are_encoded_as_whole_texts_are():
             assert lengths.tolist() == [len(x) for x in want[: len(some)]] and ids.tolist() == [i for x in want[: len(some)] for i in x]
 
 
+def test_units_that_differ_in_closing_marks_go_to_the_library_once(monkeypatch):
+    import pyarrow as pa
+    import tokenizers
+
+    monkeypatch.setattr(pfor, "kept_in_worker", lambda name, key, make: make())
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(12)
+    words_ = ["".join(rng.choices("abcdefghijklmnoprstuvéß", k=rng.randrange(4, 12))) for _ in range(500)]
+    texts = ["x " + " ".join(w + m for w in words_ for m in ("", ",", ".", "!!", ".%%%"))] * 2
+    encoder, given, library = UnitEncoder(path), [], tokenizers.Tokenizer.from_file(path)
+    encoded = encoder.units.encoded
+    monkeypatch.setattr(encoder.units, "encoded", lambda texts, *a: [given.extend(map(len, texts)), encoded(texts, *a)][1])
+    lengths, ids = encoder.encode(pa.array(texts))
+    want = library.encode(texts[0], add_special_tokens=False).ids
+    assert lengths.tolist() == [len(want)] * 2 and ids.tolist() == want * 2
+    assert sum(given) < 2 * sum(len(w) + 1 for w in words_)
+
+
+@pytest.mark.parametrize("kept", [3, 40, 1000])
+def test_units_that_are_forgotten_are_encoded_again(monkeypatch, kept):
+    import pyarrow as pa
+    import tokenizers
+
+    monkeypatch.setattr(pfor, "kept_in_worker", lambda name, key, make: make())
+    monkeypatch.setattr(pfor, "KEPT_UNITS", kept)
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(13)
+    bits = ["a", "The", "é", "ñ", "×", "÷", "ß", "日本", "e\u0301", "\0", "7", "½", "'s", "'", ".", ",", "...", "!?", "#$%&*+-/=", "|>", "@", "_", "🙂", "abcdefghijklmnopqrstuvwx"]
+    encoder, library = UnitEncoder(path), tokenizers.Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    units = ["".join(rng.choices(bits, k=rng.randrange(1, 6))) for _ in range(300)] + ["a", "a\0", "a\0\0", "é", "...", "é...", "...é", "×.", "b" * 23 + ".", "b" * 24 + ".", "b" * 24 + "c."]
+    for _ in range(30):
+        texts = ["".join(u + rng.choice([" ", " ", "\n"]) for u in rng.choices(units, k=rng.randrange(1, 30))) + "z" for _ in range(40)]
+        lengths, ids = encoder.encode(pa.array(texts), 0)
+        want = [[*x.ids, 0] for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert encoder.units.n <= kept
+
+
 def test_mix(spark, rows):
     got = Q.op7_source_mix(spark, SF).collect()
     size, target, taken = collections.Counter(), {}, collections.Counter()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,11 +34,23 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def forget_others(name: str | None = None) -> None:
+    """Drop what operators keep in this Python worker, but for that by ``name``: Spark hands workers on from query to query, and
+    what one has left would stand in memory beside what the next one needs."""
+    kept = vars(sys.modules.setdefault("_fernweave_worker", types.ModuleType("_fernweave_worker")))
+    if others := [n for n in kept if n != name and not n.startswith("__")]:
+        for n in others:
+            del kept[n]
+        with suppress(OSError, AttributeError):  # where the C library can give free memory back
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept_in_worker(name: str, key: object, make: Callable):
-    """What ``make()`` gave in this Python worker for ``key``, the latest one by that name.
+    """What ``make()`` gave in this Python worker for ``key``, the latest one; what is kept by other names goes.
 
     Code comes to a worker by value with each task, so what is to outlive one is kept in a module made for it."""
-    kept = vars(sys.modules.setdefault("_fernweave_worker", types.ModuleType("_fernweave_worker")))
+    forget_others(name)
+    kept = vars(sys.modules["_fernweave_worker"])
     if name not in kept or kept[name][0] != key:
         kept[name] = key, make()
     return kept[name][1]

@@ -26,9 +26,9 @@ from .common import kept_in_worker
 _UNIT = re.compile("\n| *[^ \n]+| +")
 #: Codes in the joined text: between units, and for characters that no piece has.
 _GAP, _OTHER = 0, 1
-#: Bytes of texts that are looked at together, characters of new units that are indexed at once, units that a worker remembers, and
-#: pairs whose verdict it remembers.
-TEXT_BYTES, BATCH_CHARS, KEPT_UNITS, KEPT_PAIRS = 1 << 22, 1 << 18, 400_000, 2_000_000
+#: Bytes of texts that are looked at together, characters of new units that are indexed at once, units that a worker remembers and
+#: their characters, besides those of the texts that it looks at, and pairs whose verdict it remembers.
+TEXT_BYTES, BATCH_CHARS, KEPT_UNITS, KEPT_CHARS, KEPT_PAIRS = 1 << 20, 1 << 17, 400_000, 1 << 22, 1_000_000
 
 
 @dataclass
@@ -134,8 +134,9 @@ class Encoder:
         self.low = np.array([p for _, p in usable], f"U{self.depth}")
         self.high = np.array([p.ljust(self.depth, "\U0010ffff") for _, p in usable], f"U{self.depth}")
         self.sizes = np.array([len(p) for _, p in usable])
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()  # units met since they were learnt, or since the last sweep
+        self.known: dict[str, bytes] = {}  # units met lately
+        self.known_chars = 0
+        self.older: dict[str, bytes] = {}  # those before, of which the ones that are met again move up
         self.pair_keys, self.pair_values = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,12 +218,12 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; none for null and empty texts."""
         split = [_UNIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
-        units = set().union(*split)
-        new = units.difference(self.known)
-        self.again |= units.difference(new)
-        if len(self.known) + len(new) > KEPT_UNITS:  # forget those that weren't met again, or most if that leaves too many
-            kept = self.again if len(self.again) <= KEPT_UNITS // 2 else units.difference(new)
-            self.known, self.again = {u: self.known[u] for u in kept}, set()
+        if len(self.known) > KEPT_UNITS // 2 or self.known_chars > KEPT_CHARS // 2:
+            self.older, self.known, self.known_chars = self.known, {}, 0
+        lacking = set().union(*split).difference(self.known)
+        self.known_chars += sum(map(len, lacking))
+        new = lacking.difference(self.older)
+        self.known |= {u: self.older[u] for u in lacking.difference(new)}
         new = sorted(new, key=len)  # so that long ones are relaxed side by side
         low = 0
         while low < len(new):
@@ -262,6 +263,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
                 high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + TEXT_BYTES, side="right")))
                 yield part(encoder, batch.slice(low, high - low))
                 low = high
+            del batch  # before the next one is read
 
     def part(encoder: Encoder, batch):
         import pyarrow as pa

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_or_empty, words
+from .common import Workspace, forget_others, text_or_empty, words
 
 WIDTH = 5
 BANDS, ROWS = 30, 5
@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 #: Texts and words of a block, about.
 BLOCK_TEXTS, BLOCK_WORDS = 256, 1 << 17
 #: Words that are signed at once in a task.
-SIGN_WORDS = 1 << 18
+SIGN_WORDS = 1 << 17
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -109,6 +109,7 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sign(batches: Iterator, bands: int, rows: int) -> Iterator:
     import pyarrow as pa
 
+    forget_others()
     for batch in batches:
         ids, lists = [batch.column(c) for c in ("doc_id", "tid", "tid2")], batch.column("w")
         lengths = np.diff(lists.offsets.to_numpy().astype(np.int64))
@@ -124,6 +125,7 @@ def _sign(batches: Iterator, bands: int, rows: int) -> Iterator:
             at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.record_batch([*(c.slice(low, high - low) for c in ids), pa.ListArray.from_arrays(pa.array(at), values)], names=["doc_id", "tid", "tid2", "bands"])
             low = high
+        del batch, ids, lists, hashes  # before the next one is read
 
 
 def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
@@ -228,6 +230,7 @@ def _linked(batches: Iterator, least: float) -> Iterator:
     each text (``a``) has in common with the pivot (``p``)."""
 
     def rows() -> Iterator[tuple]:
+        forget_others()
         for (p, _, n_blocks), block in _blocks(batches, ["p", "block", "n_blocks"], ["tid", "text"]):
             block.sort()
             ids = [i for i, _ in block]
@@ -244,6 +247,7 @@ def _linked_classes(batches: Iterator, least: float) -> Iterator:
     """Links between the classes of similar texts in a block, where one text at least is of the block's minor part."""
 
     def rows() -> Iterator[tuple]:
+        forget_others()
         for (_, _, part), block in _blocks(batches, ["p", "block", "part"], ["minor", "class", "text"]):
             block.sort(key=lambda r: -r[0])
             first = sum(r[0] for r in block)
